@@ -17,11 +17,11 @@ NO = ("n", "no", "f", "false", "0")
 
 
 def typed(value: Column, kind: str) -> Column:
-    """`value` (a trimmed string) as `kind`; what doesn't fit is null, never an error. A decimal may end in ``%``."""
+    """`value` (a trimmed string) as `kind`; what doesn't fit is null, never an error. A decimal or double may end in ``%``."""
     if kind == "boolean":
         low = F.lower(value)
         return F.when(low.isin(*YES), F.lit(True)).when(low.isin(*NO), F.lit(False))
-    if kind.startswith("decimal"):
+    if kind == "double" or kind.startswith("decimal"):
         share = F.regexp_extract(value, r"^([0-9]+(?:\.[0-9]*)?|\.[0-9]+)\s*%$", 1)
         wide = F.when(share != "", share.try_cast("decimal(38,10)") / 100).otherwise(value.try_cast("decimal(38,10)"))
         return wide.try_cast(kind)

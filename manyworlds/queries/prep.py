@@ -9,7 +9,7 @@ from manyworlds.operators import lenient, orphans, rolling, skew, wide
 from manyworlds.sources import table
 
 # The attributes of skills and the types of their values: the yes/no ones first.
-SKILL_TYPES = {k: "boolean" for k in ("pass", "shoot", "block", "steal", "rebound", "dunk", "postup", "freethrow", "threepoint", "zone_defence")} | {"shoot_pct": "decimal(9,4)", "vertical_cm": "int", "assessed_on": "date"}
+SKILL_TYPES = {k: "boolean" for k in ("pass", "shoot", "block", "steal", "rebound", "dunk", "postup", "freethrow", "threepoint", "zone_defence")} | {"shoot_pct": "double", "vertical_cm": "int", "assessed_on": "date"}
 
 
 def p2_skills_wide(spark: SparkSession, root: str) -> DataFrame:
