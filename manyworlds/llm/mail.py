@@ -13,7 +13,8 @@ import html
 import re
 
 _HEADER_LINE = re.compile(r"[!-9;-~]+:|From ")
-_BLANK = re.compile(r"\r?\n[ \t]*\r?\n|\r\r")
+# A line of blanks alone still folds the header; it ends one only where no empty line does.
+_BLANK, _ALMOST = re.compile(r"\r?\n\r?\n|\r\r"), re.compile(r"\r?\n[ \t]*\r?\n")
 _FOLD = re.compile(r"\r?\n[ \t]+")
 _FIELD = re.compile(r"^(content-type|content-transfer-encoding|content-disposition)[ \t]*:[ \t]*([^\r\n]*)", re.I | re.M)
 _BOUNDARY = re.compile(r"boundary[ \t]*=[ \t]*(?:\"([^\"]*)\"|([^;\s]+))", re.I)
@@ -63,7 +64,7 @@ def parts(mail: str | None) -> list[tuple[bool, str]]:
 def _collect(entity: str, out: list[tuple[bool, str]], depth: int, end: str) -> None:
     head, body = "", entity
     if _HEADER_LINE.match(entity):
-        gap = _BLANK.search(entity)
+        gap = _BLANK.search(entity) or _ALMOST.search(entity)
         head, body = (entity[: gap.start()], entity[gap.end() :]) if gap else (entity, "")
     elif depth and entity[:1] in "\r\n":
         body = entity.lstrip("\r\n")

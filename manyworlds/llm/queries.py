@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyworlds.llm import leak
+from manyworlds.llm import leak, mix, spam, tokens
+from manyworlds.plans.runtime import checkpoint
 from manyworlds.sources import table
 
 
@@ -23,5 +24,30 @@ def p7_leak_report(spark: SparkSession, root: str) -> DataFrame:
     return _leaks(spark, root).groupBy("item_id").agg(F.count(F.lit(1)).alias("mails"), F.max("longest_run").alias("longest_run"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_leak_report)}
+def _mixture(spark: SparkSession, root: str) -> DataFrame:
+    sized = checkpoint(tokens.sized(table(spark, root, "documents"), "doc_id", "text", ["source"]))
+    return mix.mixture(sized, table(spark, root, "mix_target"))
+
+
+def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
+    """The chosen mails in mixing order, one row per use."""
+    return mix.ordered(_mixture(spark, root))
+
+
+def p8_repeats(spark: SparkSession, root: str) -> DataFrame:
+    """The chosen mails, how often each is used."""
+    return mix.repeats(_mixture(spark, root))
+
+
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    """The share each source reaches."""
+    return mix.shares(_mixture(spark, root), table(spark, root, "mix_target"))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Mails that are stuffing or link lists instead of sentences."""
+    return spam.stuffed_pages(table(spark, root, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_leak_report, p8_mixture, p8_repeats, p8_shares, p9_found)}
 SQL: dict[str, str] = {}
