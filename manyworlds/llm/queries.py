@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from manyworlds.llm import leak, mix, spam, tokens
+from manyworlds.llm import leak, mix, names, spam, tokens
 from manyworlds.plans.runtime import checkpoint
 from manyworlds.sources import table
 
 
+def _persons(spark: SparkSession, root: str) -> DataFrame:
+    return names.linked(names.spellings((table(spark, root, "playerinfo"), "player"), (table(spark, root, "performance"), "player")))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Each two different spellings of one player."""
+    return names.variant_pairs(_persons(spark, root))
+
+
+def p1_players(spark: SparkSession, root: str) -> DataFrame:
+    """One row per spelling: the key of its player and how many spellings that player has."""
+    return checkpoint(_persons(spark, root)).withColumn("spellings", F.count(F.lit(1)).over(Window.partitionBy("person")))
+
+
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
     return leak.leaked_items(table(spark, root, "documents"), table(spark, root, "eval_item"))
 
@@ -49,5 +63,5 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return spam.stuffed_pages(table(spark, root, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_leak_report, p8_mixture, p8_repeats, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_players, p7_found, p7_leak_report, p8_mixture, p8_repeats, p8_shares, p9_found)}
 SQL: dict[str, str] = {}
