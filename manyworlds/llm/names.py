@@ -128,7 +128,7 @@ class Vocabulary:
         return tuple(sorted(f for f, n in full.items() if n * SLIP >= most)), 1 if full else 0
 
 
-def _words(text: str) -> list[tuple[str, bool]]:
+def _words(text: str, vocabulary: Vocabulary | None) -> list[tuple[str, bool]]:
     """(folded word, whether it is an initial) in order; particles left out, double names split."""
     out = []
     for raw in re.split(r"[\s./]+", text):
@@ -138,7 +138,7 @@ def _words(text: str) -> list[tuple[str, bool]]:
         raw = _GLUED.sub("", raw)
         for piece in re.split(r"[-–‐]", raw):
             w = fold(piece)
-            if w.startswith("mc") and len(w) > 4 and w[2] not in "aeiou":
+            if w.startswith("mc") and len(w) > 4 and w[2] not in "aeiou" and not (vocabulary is not None and vocabulary.meanings(w)[1]):
                 w = w[2:]
             if w and w not in PARTICLES or len(w) == 1:
                 out.append((w, len(w) == 1))
@@ -167,12 +167,12 @@ def read_name(text: str, vocabulary: Vocabulary | None = None) -> Reading:
         if kept:
             segments.append(" ".join(kept))
     if len(segments) >= 2:
-        last, first = _words(segments[0]), _words(" ".join(segments[1:]))
+        last, first = _words(segments[0], vocabulary), _words(" ".join(segments[1:]), vocabulary)
         sur, given = [w for w, one in last if not one], [w for w, one in first if not one]
         initials = [w for w, one in first if one] or [w for w, one in last if one]
         ordered = True
     else:
-        words = _words(segments[0]) if segments else []
+        words = _words(segments[0], vocabulary) if segments else []
         names, initials = [w for w, one in words if not one], [w for w, one in words if one]
         ordered = False
         if len(names) < 2:
@@ -180,8 +180,8 @@ def read_name(text: str, vocabulary: Vocabulary | None = None) -> Reading:
             sur, given = ([], names) if sure else (names, [])
         else:
             front, back = (vocabulary.meanings(names[0])[1], vocabulary.meanings(names[-1])[1]) if vocabulary is not None else (0, 0)
-            if initials and vocabulary is not None and not front and not back:
-                sur, given = names, []  # a double surname behind or before an initial
+            if vocabulary is not None and not front and not back and (initials or " " not in segments[0]):
+                sur, given = names, []  # a double surname alone, or behind or before an initial
             else:
                 sur, given = (names[:-1], names[-1:]) if back > front else (names[1:], names[:1])
     word = given[0] if given else ""
