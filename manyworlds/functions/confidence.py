@@ -270,26 +270,43 @@ class _Sampler:
         for v, k in place.items():
             self.cum[k, : len(values[k])] = np.cumsum([p[v, d] for d in values[k]])
         flat = [(place[v], number[v, d]) for c in listed for v, d in sorted(c)]
-        self.var, self.val = np.array([a for a, _ in flat]), np.array([b for _, b in flat])
-        self.start = np.cumsum([0, *(len(c) for c in listed)])
+        self.var, self.val = np.array([a for a, _ in flat]), np.array([b for _, b in flat], np.uint16)
+        self.size = np.array([len(c) for c in listed])
+        self.start = np.cumsum(self.size) - self.size
+        # Clauses as rows of literal numbers, short ones padded with one that always holds.
+        literals = {x: k for k, x in enumerate(dict.fromkeys(flat))}
+        self.lit_var, self.lit_val = np.array([a for a, _ in literals]), np.array([b for _, b in literals], np.uint16)
+        self.table = np.full((len(listed), int(self.size.max())), len(literals))
+        for k, c in enumerate(listed):
+            self.table[k, : len(c)] = [literals[place[v], number[v, d]] for v, d in sorted(c)]
         self.buffer = np.zeros(0)
 
     def draw(self, n: int) -> np.ndarray:
         out = [self.buffer]
         while sum(map(len, out)) < n:
-            out.append(self._batch(max(16, min(self.BATCH, 40_000_000 // max(1, len(self.var) + self.cum.size)))))
+            out.append(self._batch(max(64, min(self.BATCH, 20_000_000 // len(self.table)))))
         merged = np.concatenate(out)
         self.buffer = merged[n:]
         return merged[:n]
 
     def _batch(self, n: int) -> np.ndarray:
         chosen = np.minimum(np.searchsorted(self.pick, self.rng.random(n), side="right"), len(self.pick) - 1)
-        world = (self.rng.random((n, len(self.cum)))[:, :, None] >= self.cum[None, :, :]).sum(2)
-        for row, c in enumerate(chosen):
-            span = slice(self.start[c], self.start[c + 1])
-            world[row, self.var[span]] = self.val[span]
-        holds = np.logical_and.reduceat(world[:, self.var] == self.val, self.start[:-1], axis=1)
-        return 1.0 / holds.sum(1)
+        u = self.rng.random((len(self.cum), n))
+        world = np.zeros(u.shape, np.uint16)
+        for column in self.cum.T:
+            world += u >= column[:, None]
+        # The chosen clause holds in its world.
+        length = self.size[chosen]
+        sample = np.repeat(np.arange(n), length)
+        atom = np.repeat(self.start[chosen] - np.cumsum(length) + length, length) + np.arange(len(sample))
+        world[self.var[atom], sample] = self.val[atom]
+        # One bit per sample: which literals hold, then which clauses.
+        holds = np.packbits(world[self.lit_var] == self.lit_val[:, None], axis=1)
+        holds = np.vstack([holds, np.full((1, holds.shape[1]), 255, np.uint8)])
+        met = holds[self.table[:, 0]]
+        for column in self.table.T[1:]:
+            met &= holds[column]
+        return 1.0 / np.unpackbits(met, axis=1, count=n).sum(0, dtype=np.uint32)
 
 
 def sampled(clauses: Lineage, p: dict[tuple[int, int], float], epsilon: float, delta: float, seed: int) -> float:
