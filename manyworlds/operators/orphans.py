@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from manyworlds.plans.runtime import pieces
+from manyworlds.plans.runtime import checkpoint, pieces
 
 #: An open end, in microseconds.
 FOREVER = np.iinfo(np.int64).max
@@ -117,10 +117,10 @@ def missing_references(
     def held_of(t: pa.Table) -> SortedParents:
         return SortedParents(one_array(t.column("k")), t.column("h").to_numpy(), t.column("s").to_numpy(), t.column("e").to_numpy())
 
-    # One more than the bound is asked for, so the check costs no more than the broadcast it decides on.
-    few = spans.limit(broadcast_rows + 1).toArrow()
-    if len(few) <= broadcast_rows:
-        held = references[0][1].sparkSession.sparkContext.broadcast(few)
+    spans = checkpoint(spans)  # counted, then read
+    size = spans.count()
+    if size <= broadcast_rows:
+        held = references[0][1].sparkSession.sparkContext.broadcast(spans.toArrow())
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sorted_parents = held_of(held.value)
@@ -129,7 +129,7 @@ def missing_references(
 
         return probes.mapInArrow(probe, out)
 
-    ranges = pieces(spans.count(), range_rows // 2)
+    ranges = pieces(size, range_rows // 2)
     part = F.floor((F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * ranges).cast("int")
     part = F.least(F.greatest(part, F.lit(0)), F.lit(ranges - 1))
     probes, spans = probes.withColumn("part", part), spans.withColumn("part", part)
