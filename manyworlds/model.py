@@ -229,14 +229,15 @@ class UTable:
         self._uncertain("conf")
         if method == "native" or method == "auto" and self.width is not None and self.width <= 1:
             return self._conf_native(by, name)
-        return self._conf_solved(by, name, lambda clauses, p, seed: confidence.exact(clauses, p, steps), group_clauses, True)
+        return self._conf_solved(by, name, lambda clauses, p, seed, parts: confidence.exact(clauses, p, steps), group_clauses)
 
     def conf_bounds(self, *by: str | Column, epsilon: float, relative: bool = True, name: str = "conf", group_clauses: int = GROUP_CLAUSES) -> DataFrame:
         """The probability within a guaranteed distance: `epsilon`, or `epsilon` of itself if `relative`."""
         self._uncertain("conf")
         if not 0 <= epsilon < 1:
             raise NotSupported("epsilon must be from 0 to less than 1")
-        return self._conf_solved(by, name, lambda clauses, p, seed: confidence.bounded(clauses, p, epsilon, relative), group_clauses, False)
+        # Parts within epsilon of their size give a whole within epsilon of its size, which is at most 1.
+        return self._conf_solved(by, name, lambda clauses, p, seed, parts: confidence.bounded(clauses, p, epsilon, relative or parts > 1), group_clauses)
 
     def aconf(self, *by: str | Column, epsilon: float, delta: float, name: str = "aconf", group_clauses: int = GROUP_CLAUSES) -> DataFrame:
         """The probability by sampling: off by more than `epsilon` of itself with a chance of at most `delta`. Seeded by
@@ -244,7 +245,8 @@ class UTable:
         self._uncertain("aconf")
         if not (0 < epsilon < 1 and 0 < delta < 1):
             raise NotSupported("epsilon and delta must be between 0 and 1")
-        return self._conf_solved(by, name, lambda clauses, p, seed: confidence.sampled(clauses, p, epsilon, delta, seed), group_clauses, False)
+        # The parts of a split group share the chance to be off.
+        return self._conf_solved(by, name, lambda clauses, p, seed, parts: confidence.sampled(clauses, p, epsilon, delta / parts, seed), group_clauses)
 
     def _keyed(self, by: Sequence[str | Column]) -> tuple[DataFrame, list[str], list[str]]:
         """The lineage with grouping columns _g0, _g1, ..., their names, and the names to give them in the end."""
@@ -265,31 +267,30 @@ class UTable:
             done = done.filter(F.col(name) > 0)
         return done.select(*(F.col(k).alias(n) for k, n in zip(keys, named)), name)
 
-    def _conf_solved(self, by: Sequence[str | Column], name: str, solver: Callable, group_clauses: int, split: bool) -> DataFrame:
+    def _conf_solved(self, by: Sequence[str | Column], name: str, solver: Callable, group_clauses: int) -> DataFrame:
         rows, keys, named = self._keyed(by)
         # Equal clauses are one; the map side drops most of them. Atoms are compared without their probabilities.
         shape = F.transform(COND, lambda a: F.struct(a["v"].alias("v"), a["d"].alias("d")))
-        clauses = rows.withColumn("_shape", shape).groupBy(*keys, "_shape").agg(F.first(COND).alias(COND)).drop("_shape")
+        clauses = checkpoint(rows.withColumn("_shape", shape).groupBy(*keys, "_shape").agg(F.first(COND).alias(COND)).drop("_shape"))
         solve = _group_solver(solver)
         parts = [F.transform(COND, lambda a: a[f]).alias(f"_{f}") for f in "vdp"]
-        seed = F.xxhash64(*keys) if keys else F.lit(42).cast("bigint")
 
-        def solved(part: DataFrame, groups: list[str]) -> DataFrame:
-            ready = part.select(*groups, *parts, (F.xxhash64(*groups) if groups else seed).alias("_seed"))
-            agg = solve("_v", "_d", "_p", "_seed").alias(name)
+        def solved(part: DataFrame, groups: list[str], count: Column) -> DataFrame:
+            ready = part.select(*groups, *parts, (F.xxhash64(*groups) if groups else F.lit(42).cast("bigint")).alias("_seed"), count.cast("bigint").alias("_count"))
+            agg = solve("_v", "_d", "_p", "_seed", "_count").alias(name)
             return ready.groupBy(*groups).agg(agg) if groups else ready.groupBy(F.lit(1).alias("_one")).agg(agg).select(name)
 
-        if split:
-            clauses = checkpoint(clauses)
-            sizes = clauses.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            if sizes.filter(F.col("_n") > group_clauses).limit(1).count():
-                labelled = _split_components(clauses, keys)
-                per = solved(labelled, [*keys, "_component"])
-                done = per.groupBy(*keys).agg(disjunction(F.col(name)).alias(name)) if keys else per.agg(disjunction(F.col(name)).alias(name))
-            else:
-                done = solved(clauses, keys)
+        sizes = clauses.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        if sizes.filter(F.col("_n") > group_clauses).limit(1).count():
+            labelled = _split_components(clauses, keys)
+            counted = labelled.select(*keys, "_component").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
+            same = [F.col(k).eqNullSafe(F.col(f"_same{k}")) for k in keys]
+            counted = counted.withColumnsRenamed({k: f"_same{k}" for k in keys})  # without keys one row
+            labelled = labelled.join(counted, reduce(lambda a, b: a & b, same)) if same else labelled.crossJoin(counted)
+            per = solved(labelled, [*keys, "_component"], F.col("_count"))
+            done = per.groupBy(*keys).agg(disjunction(F.col(name)).alias(name)) if keys else per.agg(disjunction(F.col(name)).alias(name))
         else:
-            done = solved(clauses, keys)
+            done = solved(clauses, keys, F.lit(1))
         if keys:
             done = done.filter(F.col(name) > 0)
         else:
@@ -310,13 +311,13 @@ def argmax(df: DataFrame, argument: str | Column, value: str | Column, *by: str
 
 
 def _group_solver(solver: Callable) -> Callable:
-    """A grouped aggregate over clauses given as three arrays and a seed."""
+    """A grouped aggregate over clauses given as three arrays, a seed, and how many parts the group was split into."""
 
-    def solve(v: pd.Series, d: pd.Series, p: pd.Series, seed: pd.Series) -> float:
+    def solve(v: pd.Series, d: pd.Series, p: pd.Series, seed: pd.Series, parts: pd.Series) -> float:
         clauses, chances = confidence.lineage_of(v, d, p)
-        return float(solver(clauses, chances, int(seed.iloc[0]) if len(seed) else 0))
+        return float(solver(clauses, chances, int(seed.iloc[0]), int(parts.iloc[0])))
 
-    solve.__annotations__ = {"v": pd.Series, "d": pd.Series, "p": pd.Series, "seed": pd.Series, "return": float}
+    solve.__annotations__ = dict.fromkeys(("v", "d", "p", "seed", "parts"), pd.Series) | {"return": float}
     return F.pandas_udf(solve, "double")
 
 
@@ -324,22 +325,23 @@ def _split_components(clauses: DataFrame, keys: list[str]) -> DataFrame:
     """The clauses with the independent part of their group that they belong to (``_component``).
 
     Labels spread from clause to variable and back until none changes: each round is two aggregations by key, so no task
-    holds a group. Clauses without atoms are a part of their own.
+    holds a group. Clause and variable names are hashes that include the group, so nulls in keys need no care. Clauses
+    without atoms are a part of their own.
     """
-    numbered = checkpoint(clauses.withColumn("_clause", F.xxhash64(*keys, F.transform(COND, lambda a: F.struct(a["v"], a["d"])))))
-    edges = numbered.select(*keys, "_clause", F.explode(F.transform(COND, lambda a: a["v"])).alias("_var"))
-    labels = numbered.select(*keys, "_clause", F.col("_clause").alias("_component"))
-    changed = -1
+    numbered = checkpoint(clauses.withColumn("_clause", F.xxhash64(*(F.struct(F.col(k).isNull(), k) for k in keys), F.transform(COND, lambda a: F.struct(a["v"], a["d"])))))
+    edges = checkpoint(numbered.select("_clause", F.explode(F.transform(COND, lambda a: F.xxhash64(*(F.struct(F.col(k).isNull(), k) for k in keys), a["v"]))).alias("_var")))
+    labels = numbered.select("_clause", F.col("_clause").alias("_component"))
+    changed = 1
     while changed:
-        near = edges.join(labels, [*keys, "_clause"]).groupBy(*keys, "_var").agg(F.min("_component").alias("_least"))
-        least = edges.join(near, [*keys, "_var"]).groupBy(*keys, "_clause").agg(F.min("_least").alias("_least"))
-        step = labels.join(least, [*keys, "_clause"], "left").select(*keys, "_clause", F.least("_component", F.coalesce("_least", "_component")).alias("_next"), "_component")
+        near = edges.join(labels, "_clause").groupBy("_var").agg(F.min("_component").alias("_least"))
+        least = edges.join(near, "_var").groupBy("_clause").agg(F.min("_least").alias("_least"))
+        step = labels.join(least, "_clause", "left").select("_clause", F.least("_component", F.coalesce("_least", "_component")).alias("_next"), "_component")
         # A label that is itself a clause with a smaller label leads on: halves the number of rounds again and again.
-        onward = step.select(*keys, F.col("_clause").alias("_next"), F.col("_next").alias("_further"))
-        step = checkpoint(step.join(onward, [*keys, "_next"], "left").select(*keys, "_clause", F.least("_next", F.coalesce("_further", "_next")).alias("_component"), F.col("_component").alias("_before")))
+        onward = step.select(F.col("_clause").alias("_next"), F.col("_next").alias("_further"))
+        step = checkpoint(step.join(onward, "_next", "left").select("_clause", F.least("_next", F.coalesce("_further", "_next")).alias("_component"), F.col("_component").alias("_before")))
         changed = step.filter("_component <> _before").limit(1).count()
         labels = step.drop("_before")
-    return numbered.join(labels, [*keys, "_clause"]).drop("_clause")
+    return numbered.join(labels, "_clause").drop("_clause")
 
 
 def posterior(prior: UTable, violations: UTable, *by: str, name: str = "posterior") -> DataFrame:

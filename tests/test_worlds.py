@@ -142,7 +142,15 @@ def test_large_groups_are_split_by_spark(spark):
     right = pick_tuples(spark.range(60).select(F.floor(F.col("id") / 3).alias("k"), "id"), 0.2)
     both = left.join(right, "k")
     assert rows(both.conf("g", group_clauses=5)) == rows(both.conf("g"))
-    assert rows(both.conf("g"))[0][1] == pytest.approx(1 - (1 - 0.3 * (1 - 0.8**3)) ** 20, abs=1e-6)
+    want = 1 - (1 - 0.3 * (1 - 0.8**3)) ** 20
+    assert rows(both.conf("g"))[0][1] == pytest.approx(want, abs=1e-6)
+    assert rows(both.conf(group_clauses=5))[0][0] == pytest.approx(1 - (1 - (1 - 0.7**2) * (1 - 0.8**3)) ** 20, abs=1e-6)
+    assert all(abs(r[1] - want) <= 0.1 * want for r in both.conf_bounds("g", epsilon=0.1, group_clauses=5).collect())
+    assert all(abs(r[1] - want) <= 0.15 * want for r in both.aconf("g", epsilon=0.1, delta=0.01, group_clauses=5).collect())
+    # A group whose key is null is split like any other; one that is a chain of shared variables stays whole.
+    chain = pick_tuples(spark.range(30).select(F.lit(None).cast("string").alias("g"), "id"), 0.5)
+    pairs = chain.alias("a").join(chain.alias("b"), F.col("b_id") == F.col("a_id") + 1)
+    assert rows(pairs.conf("a_g", group_clauses=3)) == rows(pairs.conf("a_g"))
 
 
 def test_expectations(spark):
