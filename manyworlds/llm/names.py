@@ -224,10 +224,11 @@ def given_names(names: DataFrame) -> dict[str, int]:
 
 
 def surname_roots(read: DataFrame) -> DataFrame:
-    """``word, root``: each surname word and the most frequent word that it is a slip of (itself, if of none).
+    """``word, root``: each surname word and the weightier word that it is a slip of (itself, if of none).
 
-    Forms with a letter left out (and without a glued particle) are grouped; each group is reduced to its most frequent
-    word, each word takes the most frequent of its groups' words, and roots of roots are followed to the end.
+    Forms with a letter left out (and without a glued particle) are grouped; each group is reduced to its weightiest
+    word, by its uses and the words that share forms with it, each word takes the weightiest of its groups' words, and
+    roots of roots are followed to the end.
     """
     words = read.filter("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     bare = F.regexp_extract("word", r"^(?:van|al|de|di|o)([a-z]{5,})$", 1)
@@ -235,10 +236,15 @@ def surname_roots(read: DataFrame) -> DataFrame:
     base = forms.select("word", "n", F.explode("bases").alias("base"))
     left_out = F.when(F.length("base") >= 6, F.transform(F.sequence(F.lit(1), F.length("base")), lambda i: F.concat(F.substring("base", F.lit(1), i - 1), F.substring("base", i + 1, F.length("base"))))).otherwise(F.array())
     spread = base.select("word", "n", F.explode(F.array_distinct(F.concat(F.array("base"), left_out))).alias("form"))
-    best = spread.groupBy("form").agg(F.max(F.struct("n", "word")).alias("top"), F.count(F.lit(1)).alias("sharing")).filter("sharing > 1")
-    parent = spread.join(best.select("form", "top"), "form").groupBy("word").agg(F.max("top").alias("top"), F.max(F.struct("n", "word")).alias("own"))
+    shared = spread.groupBy("form").agg(F.count(F.lit(1)).alias("sharing")).filter("sharing > 1")
+    linkable = checkpoint(spread.join(shared, "form"))
+    # The word that was meant is the one that most slips lead to, and most people get right.
+    weights = linkable.groupBy("word").agg((F.first("n") + F.sum(F.col("sharing") - 1)).alias("weight"))
+    weighed = linkable.join(weights, "word").select("form", F.struct("weight", "word").alias("self"))
+    best = weighed.groupBy("form").agg(F.max("self").alias("top"))
+    parent = weighed.join(best, "form").groupBy(F.col("self.word").alias("word")).agg(F.max("top").alias("top"), F.max("self").alias("own"))
     roots = checkpoint(words.select("word").join(parent.select("word", F.when(F.col("top") > F.col("own"), F.col("top.word")).alias("up")), "word", "left").select("word", F.coalesce("up", "word").alias("root")))
-    for _ in range(2):  # a slip of a slip of a slip
+    for _ in range(2):  # up to four slips in a row
         up = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
         roots = roots.join(up, "root", "left").select("word", F.coalesce("next", "root").alias("root"))
     return checkpoint(roots)
