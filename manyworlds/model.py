@@ -60,6 +60,12 @@ class UTable:
             raise NotSupported("the rows of an uncertain table aren't data by themselves; ask for possible() or conf()")
         return self.df.drop(COND)
 
+    def _chance(self) -> Column:
+        """The probability of a row's condition. Of one atom it is read off, so that the names in it needn't be made."""
+        if self.width is not None and self.width <= 1:
+            return F.coalesce(F.get(F.col(COND), F.lit(0))["p"], F.lit(1.0))
+        return clean_tconf(F.col(COND))
+
     def _uncertain(self, what: str) -> None:
         if self.is_certain:
             raise NotSupported(f"{what} can't be used on a certain table")
@@ -203,16 +209,16 @@ class UTable:
 
     def tconf(self, name: str = "tconf") -> DataFrame:
         """Each row, duplicates included, with the probability of its own condition."""
-        return self.df.select(*self.columns, clean_tconf(F.col(COND)).alias(name))
+        return self.df.select(*self.columns, self._chance().alias(name))
 
     def esum(self, value: str | Column, *by: str | Column, name: str = "esum") -> DataFrame:
         """The expected sum of a value per group: by linearity, whatever the conditions are."""
         value = F.col(value) if isinstance(value, str) else value
-        return self._expected(value * clean_tconf(F.col(COND)), by, name)
+        return self._expected(value * self._chance(), by, name)
 
     def ecount(self, *by: str | Column, name: str = "ecount") -> DataFrame:
         """The expected number of rows per group."""
-        return self._expected(clean_tconf(F.col(COND)), by, name)
+        return self._expected(self._chance(), by, name)
 
     def _expected(self, value: Column, by: Sequence[str | Column], name: str) -> DataFrame:
         self._uncertain("an expectation")
