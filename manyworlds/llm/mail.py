@@ -24,10 +24,32 @@ _SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|title)\b[^>]*>.*?(?
 #: Tags that don't interrupt a word.
 _INLINE = re.compile(r"</?(?:a|abbr|acronym|b|bdi|bdo|big|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var|wbr)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<\?[^<>]*>")
-_UNSEEN = str.maketrans("", "", "­​‌‍⁠﻿")
+#: Characters that no reader sees: soft hyphen, zero-width ones, word joiner, byte order mark.
+_HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+_UNSEEN = str.maketrans("", "", _HIDDEN)
 _HREF = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s<>]+))[^<>]*>", re.I)
 
 
+def _seen(text: str) -> str:
+    return text.translate(_UNSEEN) if any(c in text for c in _HIDDEN) else text
+
+
+def _delimited(body: str, boundary: str) -> list[tuple[int, int, bool]]:
+    """Where the boundary lines of a multipart start and end, and whether they are end marks."""
+    mark, out, n = "--" + boundary, [], len(body)
+    i = body.find(mark)
+    while i >= 0:
+        j = i + len(mark)
+        last = body.startswith("--", j)
+        k = j + 2 * last
+        while k < n and body[k] in " \t":
+            k += 1
+        if (i == 0 or body[i - 1] == "\n") and (k == n or body[k] == "\n" or body.startswith("\r\n", k)):
+            out.append((i, k, last))
+        i = body.find(mark, j)
+    return out
+
+
 def _decoded(body: str, encoding: str, charset: str) -> str:
     if encoding == "quoted-printable":
         if "=" not in body:
@@ -57,11 +79,11 @@ def parts(mail: str | None) -> list[tuple[bool, str]]:
     """
     out: list[tuple[bool, str]] = []
     if mail:
-        _collect(mail, out, 0, "")
+        _collect(mail, out, 0)
     return out
 
 
-def _collect(entity: str, out: list[tuple[bool, str]], depth: int, end: str) -> None:
+def _collect(entity: str, out: list[tuple[bool, str]], depth: int) -> None:
     head, body = "", entity
     if _HEADER_LINE.match(entity):
         gap = _BLANK.search(entity) or _ALMOST.search(entity)
@@ -84,17 +106,20 @@ def _collect(entity: str, out: list[tuple[bool, str]], depth: int, end: str) ->
                 return
     if kind.startswith("multipart/"):
         if boundary and depth < 20:
-            pieces = re.split(r"(?:^|\r?\n)--" + re.escape(boundary) + r"(--)?[ \t]*(?=\r?\n|\Z)", body)
-            # preamble, mark, part, mark, part, ...: what follows an end mark is the epilogue.
-            for mark, piece in zip(pieces[1::2], pieces[2::2]):
-                if mark:
+            marks = _delimited(body, boundary)
+            for k, (_, start, last) in enumerate(marks):
+                if last:  # what follows is the epilogue
                     break
-                _collect(piece[2:] if piece[:2] == "\r\n" else piece[1:], out, depth + 1, boundary)
-            if len(pieces) > 1:
+                stop = marks[k + 1][0] if k + 1 < len(marks) else len(body)
+                piece = body[start:stop]
+                # The line break before a boundary belongs to it.
+                piece = piece.removesuffix("\n").removesuffix("\r") if k + 1 < len(marks) else piece
+                _collect(piece[2:] if piece[:2] == "\r\n" else piece[1:], out, depth + 1)
+            if marks:
                 return
         kind = "text/plain"
     if kind == "message/rfc822" and depth < 20:
-        _collect(body, out, depth + 1, "")
+        _collect(body, out, depth + 1)
     elif kind.startswith("text/") or "/" not in kind:
         out.append((kind == "text/html", _decoded(body, encoding, charset)))
 
@@ -107,9 +132,9 @@ def html_text(page: str, links: bool = False) -> str:
     page = page.replace("\r", " ").replace("\n", " ")
     if links:
         page = _HREF.sub(lambda m: f" {m[1] or m[2] or m[3] or ''} ", page)
-    return html.unescape(_TAG.sub("\n", _INLINE.sub("", page))).translate(_UNSEEN)
+    return _seen(html.unescape(_TAG.sub("\n", _INLINE.sub("", page))))
 
 
 def visible(mail: str | None) -> str:
     """The whole body as a reader sees it: all text parts, one after the other."""
-    return "\n".join(html_text(t) if is_html else t.translate(_UNSEEN) if not t.isascii() else t for is_html, t in parts(mail))
+    return "\n".join(html_text(t) if is_html else _seen(t) for is_html, t in parts(mail))
