@@ -37,12 +37,14 @@ SAME = {
     "join_three_way": "select r_name, n_name, count(*) as suppliers from region, nation, supplier where r_regionkey = n_regionkey and n_nationkey = s_nationkey group by r_name, n_name",
     "agg_basic": "select l_returnflag, count(*) as n, count(distinct l_suppkey) as suppliers, min(l_quantity) as low, max(l_quantity) as high, round(avg(l_quantity), 6) as mean, round(sum(l_quantity), 2) as total from lineitem group by l_returnflag",
     "agg_statistics": "select l_returnflag, round(var_pop(l_quantity), 6) as vp, round(var_samp(l_quantity), 6) as vs, round(stddev_pop(l_quantity), 6) as sp, round(stddev_samp(l_quantity), 6) as ss, round(covar_pop(l_quantity, l_discount), 6) as cp, round(covar_samp(l_quantity, l_tax), 6) as cs, round(corr(l_quantity, l_extendedprice), 6) as c from lineitem group by l_returnflag",
-    "agg_regression": "select l_linestatus, regr_count(l_extendedprice, l_quantity) as n, round(regr_slope(l_extendedprice, l_quantity), 4) as slope, round(regr_intercept(l_extendedprice, l_quantity), 2) as intercept, round(regr_r2(l_extendedprice, l_quantity), 6) as r2, round(regr_avgx(l_extendedprice, l_quantity), 6) as ax, round(regr_avgy(l_extendedprice, l_quantity), 4) as ay from lineitem group by l_linestatus",
+    "agg_regression": "select l_linestatus, cast(regr_count(l_extendedprice, l_quantity) as bigint) as n, round(regr_slope(l_extendedprice, l_quantity), 4) as slope, round(regr_intercept(l_extendedprice, l_quantity), 2) as intercept, round(regr_r2(l_extendedprice, l_quantity), 6) as r2, round(regr_avgx(l_extendedprice, l_quantity), 6) as ax, round(regr_avgy(l_extendedprice, l_quantity), 4) as ay from lineitem group by l_linestatus",
+    "agg_regression_sums": "select l_linestatus, round(regr_sxx(l_extendedprice, l_quantity), 2) as sxx, round(regr_syy(l_extendedprice, l_quantity) / 1000000, 2) as syy, round(regr_sxy(l_extendedprice, l_quantity) / 1000, 2) as sxy from lineitem group by l_linestatus",
+    "agg_filter": "select o_orderpriority, count(*) filter (where o_totalprice > 200000) as large, count(o_custkey) as n from orders group by o_orderpriority",
     "agg_boolean_bits": "select o_orderpriority, bool_and(o_totalprice > 0) as all_positive, bool_or(o_totalprice > 400000) as some_large, bit_and(o_custkey) as ba, bit_or(o_custkey) as bo from orders group by o_orderpriority",
     "agg_having": "select o_custkey, count(*) as n from orders group by o_custkey having count(*) > 15",
     "agg_expression_keys": "select year(o_orderdate) as y, o_orderpriority as p, count(*) as n from orders group by year(o_orderdate), o_orderpriority",
     "agg_distinct_sum": "select l_returnflag, round(sum(distinct l_quantity), 2) as s from lineitem group by l_returnflag",
-    "agg_empty": "select count(*) as n, sum(n_nationkey) as s, max(n_name) as m from nation where n_nationkey < 0",
+    "agg_empty": "select count(*) as n, cast(sum(n_nationkey) as bigint) as s, max(n_name) as m from nation where n_nationkey < 0",
     "sort_limit_offset": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20 offset 5",
     "distinct_rows": "select distinct l_returnflag, l_linestatus from lineitem",
     "setop_union": "select n_regionkey as k from nation union select r_regionkey from region",
@@ -150,6 +152,19 @@ def text_search(spark: SparkSession, root: str) -> DataFrame:
     return docs.select("item_id", S.ts_match(F.col("v"), "(twice | coins) & !orchard").alias("hit"), S.ts_count(F.col("v"), "the", "and").alias("n"), F.size("v").alias("words"))
 
 
+def delimited_text(spark: SparkSession, root: str) -> DataFrame:
+    """Rows to delimited text and back, with nulls, quotes and separators in them."""
+    options = {"sep": "|", "nullValue": "\\N", "escape": '"'}
+    rows = table(spark, root, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 3 > 0, F.concat("n_name", F.lit('|"x"'))).alias("name"))
+    text = rows.select(F.to_csv(F.struct("n_nationkey", "name"), options).alias("line"))
+    return text.select(F.from_csv("line", F.lit("n_nationkey int, name string"), options).alias("r")).select("r.*")
+
+
+def array_aggregate(spark: SparkSession, root: str) -> DataFrame:
+    n = table(spark, root, "nation")
+    return n.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_nationkey")).cast("array<string>"), ",").alias("keys"))
+
+
 def xml_functions(spark: SparkSession, root: str) -> DataFrame:
     n = table(spark, root, "nation")
     return n.groupBy("n_regionkey").agg(S.xml_agg(S.xml_element("n", F.col("n_name"), id=F.col("n_nationkey")), F.col("n_nationkey")).alias("x"))
@@ -170,7 +185,7 @@ def tree_labels(spark: SparkSession, root: str) -> DataFrame:
     return r.select("path", S.is_ancestor(F.lit("world.ASIA"), "path").alias("asian"), F.coalesce(S.enum_range(["AFRICA", "AMERICA", "ASIA"], "r_name"), F.lit(0)).cast("int").alias("place"))
 
 
-_OWN = (distinct_on_latest_order, order_nulls_last, crosstab_pivot, connect_by_tree, generate_series_step, values_list, upsert_rows, prepared_statement, regex_similar, quoting_functions, fuzzy_matching, date_parts, number_functions, array_functions, map_functions, text_search, xml_functions, network_functions, geo_functions, tree_labels)
+_OWN = (distinct_on_latest_order, order_nulls_last, crosstab_pivot, connect_by_tree, generate_series_step, values_list, upsert_rows, prepared_statement, regex_similar, quoting_functions, fuzzy_matching, date_parts, number_functions, array_functions, map_functions, text_search, delimited_text, array_aggregate, xml_functions, network_functions, geo_functions, tree_labels)
 QUERIES = {name: _spark_sql(text) for name, text in SAME.items()} | {f.__name__: f for f in _OWN}
 
 _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, cast(length(w) + 2 as bigint)), lambda i: substring('  ' || w || ' ', i, 3)))))"
@@ -193,6 +208,8 @@ SQL = dict(SAME) | {
     "array_functions": "select l_orderkey, count(*) as n, count(distinct l_linenumber) as u, cast(coalesce(list_position(list_sort(list(l_linenumber)), 3), 0) as int) as i, len(list_filter(list_distinct(list(l_linenumber)), lambda x: x not in (1, 2))) as r, bool_or(l_linenumber = 5) as has5, bool_or(l_linenumber > 6) as any, bool_and(l_linenumber < 7) as all from lineitem group by 1",
     "map_functions": "select n_nationkey, 2 as n, false as d, n_regionkey = 1 as c, 'x' as x from nation",
     "text_search": "with w as (select item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') as v from eval_item) select item_id, (list_contains(v, 'twice') or list_contains(v, 'coins')) and not list_contains(v, 'orchard') as hit, len(list_filter(v, lambda x: x in ('the', 'and'))) as n, len(v) as words from w",
+    "delimited_text": "select n_nationkey, case when n_nationkey % 3 > 0 then n_name || '|\"x\"' end as name from nation",
+    "array_aggregate": "select n_regionkey, string_agg(cast(n_nationkey as varchar), ',' order by n_nationkey) as keys from nation group by 1",
     "xml_functions": "select n_regionkey, string_agg('<n id=\"' || n_nationkey || '\">' || n_name || '</n>', '' order by n_nationkey) as x from nation group by 1",
     "network_functions": "select range as i, 167772160 + range as number, range between 128 and 255 as inside from range(0, 301)",
     "geo_functions": "select i, round(2 * 6378168.0 * asin(least(1.0, sqrt(power(sin((radians(i * 10) - radians(10)) / 2), 2) + cos(radians(10)) * cos(radians(i * 10)) * power(sin(radians(i * 20 - 20) / 2), 2)))), 2) as metres from (select range - 8 as i from range(0, 17))",

@@ -145,7 +145,7 @@ def _nations(spark: SparkSession, root: str) -> UTable:
     return repair_key(table(spark, root, "nation").select("n_nationkey", "n_name", "n_regionkey"), ["n_regionkey"])
 
 
-@query("select n_name, round(1.0 / count(*) over (partition by n_regionkey), 6) as p from nation union all select 'nowhere', 1.0")
+@query("select n_name, round(1.0 / count(*) over (partition by n_regionkey), 6) as p from nation union all select 'nowhere', cast(1 as double)")
 def insert_uncertain(spark: SparkSession, root: str) -> DataFrame:
     more = spark.createDataFrame([(99, "nowhere", 9)], "n_nationkey int, n_name string, n_regionkey int")
     return _nations(spark, root).insert(more).conf("n_name", name="p").withColumn("p", F.round("p", 6))
@@ -249,7 +249,7 @@ def random_graph(spark: SparkSession, nodes: DataFrame, chance: float = 0.5) ->
     return a.join(b, F.col("a_v") == F.col("b_u")).join(c, (F.col("c_u") == F.col("a_u")) & (F.col("c_v") == F.col("b_v")))
 
 
-@query("select 0.621094 as p")
+@query("select cast(0.621094 as double) as p")
 def randgraph_triangle_exact(spark: SparkSession, root: str) -> DataFrame:
     """Regions as the five nodes of a random graph: the chance of a triangle."""
     return random_graph(spark, table(spark, root, "region").select(F.col("r_regionkey").alias("node"))).conf(name="p").select(r6("p", "p"))
@@ -304,3 +304,86 @@ def windowed_event_confidence(spark: SparkSession, root: str) -> DataFrame:
     events = table(spark, root, "events").withColumn("p", F.expr("(event_id % 100) / 1000"))
     out = windowed_confidence(events, "ts", "p", "1 day", by=["event_type"], value="value")
     return out.select("start", "event_type", r6("conf", "conf"), F.round("ecount", 4).alias("ecount"), F.round(F.col("esum") + 1e-8, 4).alias("esum"))
+
+
+# --- worked examples: small literal tables, known answers -------------------------------------------------------------
+
+
+@query("select ssn, cast(p as double) as p from (values (185, 0.75), (186, 0.416667), (785, 0.833333)) t(ssn, p)")
+def example_census(spark: SparkSession, root: str) -> DataFrame:
+    """Two ambiguous numbers, cleaned by the rule that no two persons share one."""
+    w = Worlds(spark)
+    w.register("readings", spark.createDataFrame([(1, 185, 0.4), (1, 785, 0.6), (2, 185, 0.7), (2, 186, 0.3)], "tid int, ssn int, p double"))
+    w.sql("create table ssn as select tid, ssn from (repair key tid in readings weight by p) r")
+    w.sql("create table shared as select a.tid from ssn a, ssn b where a.tid < b.tid and a.ssn = b.ssn")
+    prior, violations = w.tables["ssn"], w.tables["shared"]
+    return posterior(prior, violations, "ssn", name="p").select("ssn", r6("p", "p"))
+
+
+@query("select type, cast(p as double) as p from (values ('2headed', 0.666667), ('fair', 0.333333)) t(type, p)")
+def example_coins(spark: SparkSession, root: str) -> DataFrame:
+    """Which of three coins was picked, after two heads."""
+    picked = repair_key(spark.createDataFrame([("fair", 2), ("2headed", 1)], "type string, cnt int"), [], "cnt").select("type")
+    faces = spark.createDataFrame([("fair", "H", 0.5), ("fair", "T", 0.5), ("2headed", "H", 1.0)], "type string, face string, fprob double")
+    tosses = repair_key(faces.crossJoin(spark.createDataFrame([(1,), (2,)], "toss int")), ["toss", "type"], "fprob")
+    return posterior(picked, picked.join(tosses, "type").where("face <> 'H'"), "type", name="p").select("type", r6("p", "p"))
+
+
+@query("select cast(t as double) as t, cast(p as double) as p from (values (6.5, 0.125), (7.0, 0.375), (7.5, 0.375), (8.0, 0.125), (8.5, 0.0)) t(t, p)")
+def example_sensors(spark: SparkSession, root: str) -> DataFrame:
+    """A temperature from the sums of noisy pairs of sensors."""
+    sensors = spark.createDataFrame([(1,), (2,), (3,)], "sid int").crossJoin(spark.createDataFrame([(-1, 0.25), (0, 0.5), (1, 0.25)], "delta int, p double"))
+    noise = repair_key(sensors, ["sid"], "p").select("sid", "delta")
+    temperature = repair_key(spark.createDataFrame([(6.5,), (7.0,), (7.5,), (8.0,), (8.5,)], "t double"), [])
+    evidence = UTable(spark.createDataFrame([(1, 2, 14.0), (2, 3, 15.0)], "si int, sj int, v double"))
+    a, b = noise.alias("a"), noise.alias("b")
+    seen = evidence.join(a, F.col("si") == F.col("a_sid")).join(b, F.col("sj") == F.col("b_sid")).join(temperature)
+    return posterior(temperature, seen.where("2 * t + a_delta + b_delta <> v"), "t", name="p").select("t", r6("p", "p"))
+
+
+@query("select cast(0.7578 as double) as p")
+def example_walkthrough(spark: SparkSession, root: str) -> DataFrame:
+    """Exact confidence of five clauses over five variables."""
+    clauses = [[(1, 1, 0.1)], [(1, 2, 0.4), (2, 1, 0.2)], [(1, 2, 0.4), (3, 1, 0.4)], [(4, 1, 0.7), (5, 1, 0.5)], [(4, 2, 0.3)]]
+    df = spark.createDataFrame([(c,) for c in clauses], "_cond array<struct<v:bigint,d:bigint,p:double>>")
+    return UTable(df, "uncertain").conf(name="p").select(r6("p", "p"))
+
+
+@query("select cast(4300 as double) as amount")
+def example_expected_sales(spark: SparkSession, root: str) -> DataFrame:
+    w = Worlds(spark)
+    w.register("sales", spark.createDataFrame([(1, 5000.0, 0.7), (2, 2000.0, 0.4)], "transact_id int, amount double, prob double"))
+    w.sql("create table s as pick tuples from sales independently with probability prob")
+    return w.sql("select esum(amount) as amount from s").data()
+
+
+@query("select 12 as pairs, 28 as triples, cast(0.9375 as double) as mixed")
+def example_consistency(spark: SparkSession, root: str) -> DataFrame:
+    r = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2)], "a int, b int")
+    s = repair_key(r, ["a"])
+    two = s.alias("x").join(s.alias("y"))
+    three = two.join(s.alias("z"))
+    mixed = pick_tuples(r).alias("p").join(s.alias("q")).conf(name="mixed")
+    counts = two.df.agg(F.count(F.lit(1)).cast("int").alias("pairs")).crossJoin(three.df.agg(F.count(F.lit(1)).cast("int").alias("triples")))
+    return counts.crossJoin(mixed)
+
+
+@query("select c_mktsegment, round(p + 1, 6) as x, round(p / 8, 6) as y, round(s, 4) as s from (select c_mktsegment, sum(q) as p, sum(q * c_acctbal) as s from (select *, 1.0 / count(*) over () as q from customer) group by 1)")
+def sql_conf_in_arithmetic(spark: SparkSession, root: str) -> DataFrame:
+    w = Worlds(spark)
+    w.register("customers", table(spark, root, "customer"))
+    w.sql("create table one as repair key dummy in (select 0 as dummy, c_custkey, c_mktsegment, c_acctbal from customers)")
+    return w.sql("select c_mktsegment, round(conf() + 1, 6) as x, round(conf() / 8, 6) as y, round(esum(c_acctbal), 4) as s from one group by c_mktsegment").data()
+
+
+@query("select n_regionkey, true as r, true as a, true as m from nation group by 1")
+def sql_approximate_conf(spark: SparkSession, root: str) -> DataFrame:
+    """The approximations by their SQL names, against the exact value."""
+    w = Worlds(spark)
+    w.register("nation", table(spark, root, "nation"))
+    w.register("supplier", table(spark, root, "supplier"))
+    w.sql("create table n as pick tuples from nation with probability 0.1 + n_nationkey * 0.02")
+    w.sql("create table s as pick tuples from supplier with probability 0.01 + (s_suppkey % 5) * 0.01")
+    w.sql("create table j as select n.n_regionkey, s.s_suppkey from n, s where n.n_nationkey = s.s_nationkey")
+    out = w.sql("select n_regionkey, conf() as p, conf('R', 0.02) as r, conf('A', 0.02) as a, aconf(0.1, 0.001) as m from j group by n_regionkey").data()
+    return out.select("n_regionkey", (F.abs(F.col("r") - F.col("p")) <= 0.02 * F.col("p") + 1e-9).alias("r"), (F.abs(F.col("a") - F.col("p")) <= 0.02 + 1e-9).alias("a"), (F.abs(F.col("m") - F.col("p")) <= 0.1 * F.col("p")).alias("m"))

@@ -179,9 +179,15 @@ def groups(atoms) -> tuple[list[Group], bool]:
     return [Group(own, {v: kinds[v] for v in kinds if find(v) == root}) for root, own in by.items()], free
 
 
-def clause_probability(atoms, seed: int, n: int) -> float:
-    """The probability that all constraints hold."""
+def clause_probability(atoms, seed: int, n: int, exact: bool = True, grouped: bool = True) -> float:
+    """The probability that all constraints hold. Without `exact` intervals are sampled like everything else; without
+    `grouped` all constraints are sampled jointly."""
     parts, free = groups(atoms)
+    if not grouped and parts:
+        parts = [Group([a for g in parts for a in g.atoms], {v: k for g in parts for v, k in g.kinds.items()})]
+    if not exact:
+        for g in parts:
+            g.bounds = None
     return math.prod((g.probability(seed, n) for g in parts), start=float(free))
 
 
@@ -230,12 +236,12 @@ def world_values(nodes, atoms, seed: int, n: int) -> tuple[np.ndarray, np.ndarra
 # --- columns ------------------------------------------------------------------------------------------------------
 
 
-def conf_one(atoms: str | Column = ATOMS, samples: int = SAMPLES, seed: int = 0) -> Column:
-    """The probability of a row's constraints."""
+def conf_one(atoms: str | Column = ATOMS, samples: int = SAMPLES, seed: int = 0, exact: bool = True, grouped: bool = True) -> Column:
+    """The probability of a row's constraints; `exact` and `grouped` as in :func:`clause_probability`."""
 
     @F.pandas_udf("double")
     def probability(a: pd.Series) -> pd.Series:
-        return a.map(lambda x: clause_probability(x, seed, samples))
+        return a.map(lambda x: clause_probability(x, seed, samples, exact, grouped))
 
     return probability(atoms)
 

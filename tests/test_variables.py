@@ -27,6 +27,9 @@ def test_intervals_are_exact(table):
     assert column(table.where(gt(F.col("e"), 1)), I.conf_one()) == pytest.approx([math.exp(-2), math.exp(-0.5), math.exp(-1)])
     assert column(table.where(gt(F.col("n"), const(F.col("k")))), I.conf_one()) == pytest.approx([0.5] * 3)
     assert column(table.where(gt(add(mul(F.col("u"), -2), 10), 4)), I.conf_one()) == pytest.approx([0.3] * 3)
+    both = table.where(gt(F.col("u"), 5), gt(F.col("e"), 1))
+    assert column(both, I.conf_one(samples=20_000, exact=False))[0] == pytest.approx(0.5 * math.exp(-2), abs=0.01)
+    assert column(both, I.conf_one(samples=20_000, grouped=False))[0] == pytest.approx(0.5 * math.exp(-2), abs=0.01)
     # Whole numbers: more than 2, less than 5 is 3 or 4.
     want = math.exp(-3) * (27 / 6 + 81 / 24)
     assert column(table.where(gt(F.col("q"), 2), lt(F.col("q"), 5)), I.conf_one()) == pytest.approx([want] * 3)
