@@ -103,6 +103,11 @@ def line_shapes(lines: list[str]) -> list[Shape]:
                 continue
             # A text with links in it: the text in pieces, the links by themselves.
             cut += [("", [], 1)] * links
+        short = _WORD.findall(plain)
+        if len(short) <= WRAP:
+            if short:
+                cut.append((plain, short, 0))
+            continue
         found = list(_WORD.finditer(plain))
         for k in range(0, len(found), WRAP):
             stop = found[k + WRAP].start() if k + WRAP < len(found) else len(plain)
@@ -137,9 +142,11 @@ def line_shapes(lines: list[str]) -> list[Shape]:
             kind = "link"  # the label of the link in the next line
         elif tags and 2 * tags >= size - 1 and not re.search(r"#\d", line):
             kind = "tags"
+        elif recurring < 0.3:
+            kind = "sentence"  # or a record of new words: neither a list of repetitions nor stuffing
         elif _RECORD.search(line):
             kind = "record"
-        elif size >= 5 and separators >= 2 and size <= 4.6 * (separators + 1) and not _END.search(line[:-1]) and recurring >= 0.3:
+        elif size >= 5 and separators >= 2 and size <= 4.6 * (separators + 1) and not _END.search(line[:-1]):
             kind = "list"
         elif recurring >= 0.75:
             kind = "recurring"
