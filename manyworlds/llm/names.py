@@ -72,6 +72,19 @@ def slips(word: str) -> Iterator[str]:
             yield word[:i] + word[i + 1 :]
 
 
+def edits(a: str, b: str) -> int:
+    """How many letters inserted, deleted, replaced, or swapped with the next lead from one word to the other."""
+    before, last = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[-1] = min(row[-1], before[j - 2] + 1)
+        before, last = last, row
+    return last[-1]
+
+
 class Reading(NamedTuple):
     """A spelling taken apart: all in folded form."""
 
@@ -113,19 +126,21 @@ class Vocabulary:
             return stands, 2
         near = {w for s in (word, *slips(word)) for w in self.index.get(s, ()) if w != word and self.uses[w] and min(len(w), len(word)) > 2}
         own = self.uses.get(word, 0)
-        if own or word in NICKNAMES:
-            above = [w for w in near if self.uses[w] >= SLIP * max(1, own) and w not in _MEANINGS and word not in NICKNAMES]
-            return ((max(above, key=lambda w: (self.uses[w], w)),) if above else (word,)), 2
+        if word in NICKNAMES or own and not any(self.uses[w] >= SLIP * own and w not in _MEANINGS for w in near):
+            return (word,), 2
         if len(word) < 3:
             return (), 0
+        # Of several, the nearest; the rarer by far of these are out: a slip is likelier of a common name.
+        near = {w for w in near if self.uses[w] >= SLIP * own}
+        least = min((edits(word, w) for w in near), default=0)
         full: dict[str, int] = {}
         for w in near:
-            for f in _MEANINGS.get(w, ()) or (w,):
-                if self.uses.get(f):
-                    full[f] = max(full.get(f, 0), self.uses[w])
-        # Of several, the rarer by far are out: a slip is likelier of a common name, and of two like ones nobody knows.
+            if edits(word, w) == least:
+                for f in _MEANINGS.get(w, ()) or (w,):
+                    if self.uses.get(f):
+                        full[f] = max(full.get(f, 0), self.uses[w])
         most = max(full.values(), default=0)
-        return tuple(sorted(f for f, n in full.items() if n * SLIP >= most)), 1 if full else 0
+        return tuple(sorted(f for f, n in full.items() if n * SLIP >= most)), (2 if own else 1) if full else 0
 
 
 def _words(text: str, vocabulary: Vocabulary | None) -> list[tuple[str, bool]]:
