@@ -51,8 +51,9 @@ def mixture(sized: DataFrame, targets: DataFrame, *, budget: int | None = None,
     without documents (or with none but empty ones) makes every share unreachable: it is left out of the budget's
     minimum, so the rest is mixed and the report shows it at 0. Documents without tokens take no room and are chosen
     with their neighbours. Ties in the shuffle are broken by ``doc_id``; repeated rows queue up each. Empty tables give
-    no rows. `sized` is read more than once: pass a table or a checkpoint.
+    no rows. Other columns aren't read. `sized` is read more than once: pass a table or a checkpoint.
     """
+    sized = sized.select("doc_id", "source", "tokens")
     wanted = targets.filter("source is not null and target_share > 0 and max_repeats > 0").select("source", F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("repeats"))
     totals = sized.groupBy("source").agg(F.sum("tokens").alias("total"), F.max("tokens").alias("longest"), F.count(F.lit(1)).alias("docs")).join(wanted, "source").filter("total > 0")
     # One row per targeted source: as many as the bounded table of targets has.
@@ -67,7 +68,7 @@ def mixture(sized: DataFrame, targets: DataFrame, *, budget: int | None = None,
         r["slices"] = max(1, -(-r["docs"] // slice_rows))
     rule = sized.sparkSession.createDataFrame([(r["source"], r["share"], r["passes"], r["slices"]) for r in plan], "source string, share double, passes int, slices int")
     queued = (
-        sized.join(F.broadcast(rule), "source")
+        sized.join(rule, "source")
         .withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes"))))
         .withColumn("key", F.xxhash64("doc_id", "pass", F.lit(seed)))
         .withColumn("slice", _slice("key", "slices"))

@@ -122,7 +122,7 @@ def test_mixture_is_fair_queueing(spark, budget):
     rng = random.Random(4)
     docs = [(i, rng.choice(["a", "a", "a", "b", "c", None, "z"]), rng.choice([1, 5, 40, 80])) for i in range(150)]
     targets = [("a", 0.2, 1), ("b", 0.5, 3), ("c", 0.3, 2)]
-    sized = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint")
+    sized = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint").withColumns({c: F.lit("x") for c in ("share", "pass", "key", "slice", "repeats")})
     t = spark.createDataFrame([*targets, ("gone", 0.0, 5)], "source string, target_share double, max_repeats int")
     total = {s: sum(d[2] for d in docs if d[1] == s) for s, *_ in targets}
     limit = budget if budget is not None else int(min(m * total[s] / w for s, w, m in targets))
