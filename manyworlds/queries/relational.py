@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,7 +187,53 @@ def tree_labels(spark: SparkSession, root: str) -> DataFrame:
     return r.select("path", S.is_ancestor(F.lit("world.ASIA"), "path").alias("asian"), F.coalesce(S.enum_range(["AFRICA", "AMERICA", "ASIA"], "r_name"), F.lit(0)).cast("int").alias("place"))
 
 
-_OWN = (distinct_on_latest_order, order_nulls_last, crosstab_pivot, connect_by_tree, generate_series_step, values_list, upsert_rows, prepared_statement, regex_similar, quoting_functions, fuzzy_matching, date_parts, number_functions, array_functions, map_functions, text_search, delimited_text, array_aggregate, xml_functions, network_functions, geo_functions, tree_labels)
+def encoding_functions(spark: SparkSession, root: str) -> DataFrame:
+    n = table(spark, root, "nation")
+    return n.select("n_nationkey", F.md5("n_name").alias("md5"), F.sha2("n_name", 256).alias("sha"), F.lower(F.hex("n_name")).alias("hex"), F.base64("n_name").alias("b64"), F.decode(F.unbase64(F.base64("n_name")), "UTF-8").alias("back"))
+
+
+def format_functions(spark: SparkSession, root: str) -> DataFrame:
+    o = table(spark, root, "orders")
+    return o.select("o_orderkey", F.date_format("o_orderdate", "yyyy/MM/dd HH:mm").alias("t"), F.to_date(F.date_format("o_orderdate", "yyyyMMdd"), "yyyyMMdd").alias("d"), F.date_diff(F.lit("2002-01-01").cast("date"), F.col("o_orderdate").cast("date")).cast("bigint").alias("days"), F.last_day("o_orderdate").alias("last"))
+
+
+def regex_functions(spark: SparkSession, root: str) -> DataFrame:
+    p = table(spark, root, "part")
+    return p.select("p_partkey", F.array_join(F.regexp_extract_all("p_name", F.lit("([aeiou])"), 1), "").alias("vowels"), F.size(F.split("p_name", " ")).alias("words"), F.regexp_count("p_name", F.lit("[a-m]")).alias("early"), F.col("p_brand").rlike("#[0-9]$").alias("short"))
+
+
+def sql_function(spark: SparkSession, root: str) -> DataFrame:
+    """A function defined in SQL."""
+    spark.sql("create or replace temporary function mw_net(price double, discount double) returns double return price * (1 - discount)")
+    table(spark, root, "lineitem").createOrReplaceTempView("lineitem")
+    return spark.sql("select l_returnflag, round(sum(mw_net(l_extendedprice, l_discount)), 2) as net from lineitem group by l_returnflag")
+
+
+def python_aggregate(spark: SparkSession, root: str) -> DataFrame:
+    """A user-defined aggregate over Arrow batches: the geometric mean."""
+
+    def geometric(v: pd.Series) -> float:
+        return float(np.exp(np.log(v).mean()))
+
+    geometric.__annotations__ = {"v": pd.Series, "return": float}
+    mean = F.pandas_udf(geometric, "double")
+    return table(spark, root, "part").groupBy("p_brand").agg(F.round(mean("p_retailprice"), 4).alias("g"))
+
+
+def table_function(spark: SparkSession, root: str) -> DataFrame:
+    """A user-defined table function: the letters of a name with their counts."""
+
+    class Letters:
+        def eval(self, text: str):
+            for c in sorted(set(text.lower())):
+                yield c, text.lower().count(c)
+
+    spark.udtf.register("mw_letters", F.udtf(Letters, returnType="letter string, n int"))
+    table(spark, root, "region").createOrReplaceTempView("region")
+    return spark.sql("select r_regionkey, l.letter, l.n from region, lateral mw_letters(r_name) l")
+
+
+_OWN = (encoding_functions, format_functions, regex_functions, sql_function, python_aggregate, table_function, distinct_on_latest_order, order_nulls_last, crosstab_pivot, connect_by_tree, generate_series_step, values_list, upsert_rows, prepared_statement, regex_similar, quoting_functions, fuzzy_matching, date_parts, number_functions, array_functions, map_functions, text_search, delimited_text, array_aggregate, xml_functions, network_functions, geo_functions, tree_labels)
 QUERIES = {name: _spark_sql(text) for name, text in SAME.items()} | {f.__name__: f for f in _OWN}
 
 _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, cast(length(w) + 2 as bigint)), lambda i: substring('  ' || w || ' ', i, 3)))))"
@@ -208,6 +256,12 @@ SQL = dict(SAME) | {
     "array_functions": "select l_orderkey, count(*) as n, count(distinct l_linenumber) as u, cast(coalesce(list_position(list_sort(list(l_linenumber)), 3), 0) as int) as i, len(list_filter(list_distinct(list(l_linenumber)), lambda x: x not in (1, 2))) as r, bool_or(l_linenumber = 5) as has5, bool_or(l_linenumber > 6) as any, bool_and(l_linenumber < 7) as all from lineitem group by 1",
     "map_functions": "select n_nationkey, 2 as n, false as d, n_regionkey = 1 as c, 'x' as x from nation",
     "text_search": "with w as (select item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') as v from eval_item) select item_id, (list_contains(v, 'twice') or list_contains(v, 'coins')) and not list_contains(v, 'orchard') as hit, len(list_filter(v, lambda x: x in ('the', 'and'))) as n, len(v) as words from w",
+    "encoding_functions": "select n_nationkey, md5(n_name) as md5, sha256(n_name) as sha, lower(hex(n_name)) as hex, to_base64(encode(n_name)) as b64, n_name as back from nation",
+    "format_functions": "select o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H:%M') as t, cast(o_orderdate as date) as d, date_diff('day', cast(o_orderdate as date), date '2002-01-01') as days, last_day(o_orderdate) as last from orders",
+    "regex_functions": "select p_partkey, array_to_string(regexp_extract_all(p_name, '[aeiou]'), '') as vowels, len(string_split(p_name, ' ')) as words, len(regexp_extract_all(p_name, '[a-m]')) as early, regexp_matches(p_brand, '#[0-9]$') as short from part",
+    "sql_function": "select l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) as net from lineitem group by 1",
+    "python_aggregate": "select p_brand, round(exp(avg(ln(p_retailprice))), 4) as g from part group by 1",
+    "table_function": "select r_regionkey, letter, count(*) as n from (select r_regionkey, unnest(string_split(lower(r_name), '')) as letter from region) group by 1, 2",
     "delimited_text": "select n_nationkey, case when n_nationkey % 3 > 0 then n_name || '|\"x\"' end as name from nation",
     "array_aggregate": "select n_regionkey, string_agg(cast(n_nationkey as varchar), ',' order by n_nationkey) as keys from nation group by 1",
     "xml_functions": "select n_regionkey, string_agg('<n id=\"' || n_nationkey || '\">' || n_name || '</n>', '' order by n_nationkey) as x from nation group by 1",
