@@ -29,7 +29,31 @@ def typed(value: Column, kind: str) -> Column:
         return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), value.try_cast("date"))
     if kind in ("int", "bigint"):
         return F.when(value.rlike(r"^[+-]?\d+$"), value.try_cast(kind))
-    return value.try_cast(kind)
+    return value if kind == "string" else value.try_cast(kind)
+
+
+#: Types that values are tried as, narrowest first.
+KINDS = ("boolean", "int", "double", "date")
+
+
+def attribute_kinds(df: DataFrame, attribute: str, value: str, share: float = 0.8) -> DataFrame:
+    """``attribute, kind, filled, fitting``: the narrowest type of KINDS that at least `share` of an attribute's usable
+    values fit, else string; and how many there are and fit. Names are matched as in :func:`widen`; blank and null ones
+    are none, and neither are attributes without a usable value. Every row is looked at, on the map side."""
+    told = F.trim(F.col(value))
+    rows = df.select(F.lower(F.trim(F.col(attribute))).alias("attribute"), F.when(told != "", told).alias("val")).filter("attribute <> '' and val is not null")
+    counts = rows.groupBy("attribute").agg(F.count(F.lit(1)).alias("filled"), *(F.count(typed(F.col("val"), k)).alias(f"as_{k}") for k in KINDS))
+    best = F.coalesce(*(F.when(F.col(f"as_{k}") >= share * F.col("filled"), F.struct(F.lit(k).alias("kind"), F.col(f"as_{k}").alias("fitting"))) for k in KINDS), F.struct(F.lit("string").alias("kind"), F.col("filled").alias("fitting")))
+    return counts.withColumn("best", best).select("attribute", "best.kind", "filled", "best.fitting")
+
+
+def found_types(df: DataFrame, attribute: str, value: str, share: float = 0.8, most: int = 2000) -> dict[str, str]:
+    """The attributes of a table that keeps changing, with their types, for :func:`widen`. A wide table can't have more
+    than `most` columns: beyond that it is an error."""
+    rows = attribute_kinds(df, attribute, value, share).select("attribute", "kind").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} attributes")
+    return dict(sorted((r["attribute"], r["kind"]) for r in rows))
 
 
 def widen(df: DataFrame, entity: str, attribute: str, value: str, types: dict[str, str], order: list[str]) -> DataFrame:

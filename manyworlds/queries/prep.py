@@ -17,6 +17,11 @@ def p2_skills_wide(spark: SparkSession, root: str) -> DataFrame:
     return wide.widen(table(spark, root, "skills"), "player", "skill", "has", SKILL_TYPES, ["loaded_at", "skill_id"])
 
 
+def p2_attribute_types(spark: SparkSession, root: str) -> DataFrame:
+    """The skills there are, and the type that most of each one's values fit."""
+    return wide.attribute_kinds(table(spark, root, "skills"), "skill", "has")
+
+
 def _missing(spark: SparkSession, root: str) -> DataFrame:
     refs = [(t, table(spark, root, t), i, "player", "loaded_at") for t, i in (("performance", "perf_id"), ("skills", "skill_id"), ("participationrate", "rate_id"))]
     return orphans.missing_references(refs, table(spark, root, "playerinfo"), "player", "loaded_at", "deleted_at")
@@ -102,7 +107,7 @@ def p6_repairs(spark: SparkSession, root: str) -> DataFrame:
     return _lines(spark, root).filter("reason is not null").select(F.col("row_id").alias("rec_id"), F.col("kind").alias("src_file"), "reason", F.array_join("edits", "; ").alias("edits"))
 
 
-QUERIES = {f.__name__: f for f in (p2_skills_wide, p3_found, p3_orphans_per_month, p4_found, p4_node_totals, p4_bit_rollup, p5_rolling_points, p5_rolling_points_once, p6_found, p6_loaded_performance, p6_repairs)}
+QUERIES = {f.__name__: f for f in (p2_skills_wide, p2_attribute_types, p3_found, p3_orphans_per_month, p4_found, p4_node_totals, p4_bit_rollup, p5_rolling_points, p5_rolling_points_once, p6_found, p6_loaded_performance, p6_repairs)}
 
 
 def _typed_sql(kind: str, v: str) -> str:
@@ -124,6 +129,15 @@ def _wide_sql() -> str:
     select player, {out} from w"""
 
 
+def _kinds_sql() -> str:
+    counts = ", ".join(f"count({_typed_sql(k, 'val')}) as as_{k}" for k in wide.KINDS)
+    kind = " ".join(f"when as_{k} >= 0.8 * filled then '{k}'" for k in wide.KINDS)
+    fitting = " ".join(f"when as_{k} >= 0.8 * filled then as_{k}" for k in wide.KINDS)
+    return f"""with r as (select lower(trim(skill, ' ')) as attribute, nullif(trim(has, ' '), '') as val from skills),
+    c as (select attribute, count(*) as filled, {counts} from r where attribute <> '' and val is not null group by 1)
+    select attribute, case {kind} else 'string' end as kind, filled, case {fitting} else filled end as fitting from c"""
+
+
 _MISSING_SQL = """with parent as (select trim(player, ' ') as player, loaded_at, deleted_at from playerinfo where player is not null),
     ref as (select 'performance' as src_table, perf_id as row_id, trim(player, ' ') as player, loaded_at from performance where player is not null
       union all select 'skills', skill_id, trim(player, ' '), loaded_at from skills where player is not null
@@ -177,6 +191,7 @@ _LINES_SQL = f"""with l as (select rec_id, src_file, case when right(raw, 1) = c
 
 SQL = {
     "p2_skills_wide": _wide_sql(),
+    "p2_attribute_types": _kinds_sql(),
     "p3_found": _MISSING_SQL + " select * from found",
     "p3_orphans_per_month": _MISSING_SQL + " select src_table, period, count(*) as orphans from found group by 1, 2",
     "p4_found": """select 'total_order' as src_table, u from total_order where u is not null group by u having count(*) * 50 >= (select count(*) from total_order)

@@ -66,6 +66,18 @@ def test_widen(spark):
     assert str(dec["shoot_pct"]) == "0.45"
 
 
+def test_found_types(spark):
+    data = [("A", " N", "1"), ("A", "n", "12"), ("B", "n", "x"), ("A", "n", "7"), ("A", "n", "8"), ("A", "N ", "9"), ("A", "d", "2024-01-01"), ("A", "f", "yes"), ("A", "t", "hello"), ("A", "q", "1.5"), ("A", "", "1"), (None, None, "1"), ("A", "void", " ")]
+    df = spark.createDataFrame(data, "e string, a string, v string")
+    types = wide.found_types(df, "a", "v")
+    assert types == {"d": "date", "f": "boolean", "n": "int", "q": "double", "t": "string"}
+    got = {r["e"]: r for r in wide.widen(df.withColumn("i", F.monotonically_increasing_id()), "e", "a", "v", types, ["i"]).collect()}
+    assert (got["A"]["n"], got["A"]["q"], got["A"]["t"], got["B"]["n"]) == (9, 1.5, "hello", None)
+    assert wide.found_types(df.limit(0), "a", "v") == {}
+    with pytest.raises(ValueError, match="more than"):
+        wide.found_types(df, "a", "v", most=2)
+
+
 # --- references ------------------------------------------------------------------------------------------------------
 
 DAY = datetime(2024, 1, 1)
