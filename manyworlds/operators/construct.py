@@ -33,19 +33,22 @@ def _plain(source: DataFrame | UTable, what: str) -> DataFrame:
     return source
 
 
-def repair_key(source: DataFrame | UTable, key: Sequence[str], by: str | Column | None = None, *, salt: str | None = None) -> UTable:
+def repair_key(source: DataFrame | UTable, key: Sequence[str], by: str | Column | None = None, *, distinct: bool = False, salt: str | None = None) -> UTable:
     """In each world exactly one distinct row of each group that agrees in `key`.
 
     A row's chance is its weight over the sum of the group's distinct rows, or one over their number without `by`.
     Repeated rows stay, with one variable, value and chance between them. Rows of weight 0 or null are in no world;
     a negative weight is an error. Nulls are equal to each other, as in grouping. An empty key repairs the whole table.
+    `distinct` states that no row is repeated, which spares comparing whole rows.
     """
     df = _plain(source, "repair_key")
     data, name = df.columns, _salt(salt)
     w = weight(F.col(by) if isinstance(by, str) else by) if by is not None else F.lit(1.0)
     weighed = df.withColumn("_w", w).filter(F.col("_w") > 0)
     # One row per distinct row, then one sum per key: both combine on the map side, and a key's sum joins as one row.
-    sums = weighed.groupBy(*(F.col(c).alias(f"_x{i}") for i, c in enumerate(data))).agg(F.first("_w").alias("_w"))
+    sums = weighed.select(*(F.col(c).alias(f"_x{i}") for i, c in enumerate(data)), "_w")
+    if not distinct:
+        sums = sums.groupBy(*(f"_x{i}" for i in range(len(data)))).agg(F.first("_w").alias("_w"))
     places = [data.index(k) for k in key]
     sums = sums.groupBy(*(F.col(f"_x{i}").alias(f"_k{i}") for i in places)).agg(F.sum("_w").alias("_sum"))
     if key:

@@ -75,12 +75,12 @@ def ecount_orders(spark: SparkSession, root: str) -> DataFrame:
 @query("select c_custkey, c_nationkey, round((c_acctbal + 1000) / sum(c_acctbal + 1000) over (partition by c_nationkey), 6) as p from customer where c_acctbal + 1000 > 0")
 def repair_key_weighted(spark: SparkSession, root: str) -> DataFrame:
     customers = table(spark, root, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    return repair_key(customers, ["c_nationkey"], F.col("c_acctbal") + 1000).tconf("p").select("c_custkey", "c_nationkey", r6("p", "p"))
+    return repair_key(customers, ["c_nationkey"], F.col("c_acctbal") + 1000, distinct=True).tconf("p").select("c_custkey", "c_nationkey", r6("p", "p"))
 
 
 @query("select s_suppkey, round(1.0 / count(*) over (partition by s_nationkey), 6) as p from supplier")
 def repair_key_uniform(spark: SparkSession, root: str) -> DataFrame:
-    return repair_key(table(spark, root, "supplier").select("s_suppkey", "s_nationkey"), ["s_nationkey"]).tconf("p").select("s_suppkey", r6("p", "p"))
+    return repair_key(table(spark, root, "supplier").select("s_suppkey", "s_nationkey"), ["s_nationkey"], distinct=True).tconf("p").select("s_suppkey", r6("p", "p"))
 
 
 @query("""with d as (select distinct l_returnflag, l_linestatus, l_quantity from lineitem), w as (select *, l_quantity / sum(l_quantity) over (partition by l_returnflag, l_linestatus) as p from d)
@@ -97,7 +97,7 @@ def repair_key_duplicates(spark: SparkSession, root: str) -> DataFrame:
 def repair_key_marginal(spark: SparkSession, root: str) -> DataFrame:
     """One order of each customer: the chance that a day has one. Within a customer orders exclude each other."""
     orders = table(spark, root, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
-    return repair_key(orders, ["o_custkey"], "o_totalprice").conf("day", name="p").select("day", F.round("p", 5).alias("p"))
+    return repair_key(orders, ["o_custkey"], "o_totalprice", distinct=True).conf("day", name="p").select("day", F.round("p", 5).alias("p"))
 
 
 @query("""with t as (select distinct u, v, bit, p from total_order where p is not null and p > 0), w as (select *, p / sum(p) over (partition by u, v) as q from t)
@@ -105,7 +105,7 @@ def repair_key_marginal(spark: SparkSession, root: str) -> DataFrame:
 def edges_of_total_order(spark: SparkSession, root: str) -> DataFrame:
     """The random graph: of each pair's bits one is chosen; edges are the pairs whose bit is 1."""
     order = table(spark, root, "total_order").select("u", "v", "bit", "p").distinct()
-    return repair_key(order, ["u", "v"], "p").where("bit = 1").select("u", "v").tconf("p").select("u", "v", r6("p", "p"))
+    return repair_key(order, ["u", "v"], "p", distinct=True).where("bit = 1").select("u", "v").tconf("p").select("u", "v", r6("p", "p"))
 
 
 @query("select u, round(1 - product(1 - _p0) + 1e-10, 6) as p, round(sum(_p0), 4) as n from (select u, v, _v0, _d0, max(_p0) as _p0 from edge group by all) group by u")
@@ -129,7 +129,7 @@ def argmax_supplier(spark: SparkSession, root: str) -> DataFrame:
 @query("select o_custkey, count(*) as pairs, round(sum(1.0 / n), 6) as p from (select o_custkey, o_orderkey, count(*) over (partition by o_custkey) as n from orders) group by 1")
 def consistency_self_join(spark: SparkSession, root: str) -> DataFrame:
     """A table joined with itself: only equal choices can exist together."""
-    orders = repair_key(table(spark, root, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"])
+    orders = repair_key(table(spark, root, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], distinct=True)
     both = orders.alias("a").join(orders.alias("b"), F.col("a_o_custkey") == F.col("b_o_custkey"))
     return both.tconf("p").groupBy(F.col("a_o_custkey").alias("o_custkey")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("p"), 6).alias("p"))
 
@@ -268,7 +268,7 @@ def randgraph_triangle_aconf(spark: SparkSession, root: str) -> DataFrame:
 def posterior_by_segment(spark: SparkSession, root: str) -> DataFrame:
     """A customer of nation 0, given that its segment isn't building."""
     counts = table(spark, root, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
-    chosen = repair_key(counts, ["c_nationkey"], "n").where("c_nationkey = 0")
+    chosen = repair_key(counts, ["c_nationkey"], "n", distinct=True).where("c_nationkey = 0")
     return posterior(chosen, chosen.where("c_mktsegment = 'BUILDING'"), "c_mktsegment", name="p").select("c_mktsegment", r6("p", "p"))
 
 

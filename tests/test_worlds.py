@@ -87,6 +87,7 @@ def test_repair_key(spark):
     assert rows(s.tconf().select("a", "b", "c", "tconf")) == [(1, 1, 2, 1.0), (2, 1, 1, 0.5), (2, 1, 2, 0.5)]
     with pytest.raises(Exception, match="negative weight"):
         repair_key(spark.createDataFrame([(1, -1.0)], "a int, w double"), ["a"], "w").df.collect()
+    assert rows(repair_key(r, ["a", "b"], "w", distinct=True).tconf()) == rows(s.tconf())
     # Repeated rows share their variable; nulls are a key like any other.
     d = repair_key(spark.createDataFrame([(0.5, "x"), (0.5, "x"), (1.0, "y"), (None, "z"), (None, "u")], "p double, t string"), ["p"])
     assert sorted(r["tconf"] for r in d.tconf().collect()) == [0.5, 0.5, 1.0, 1.0, 1.0]
