@@ -24,6 +24,8 @@ from manyworlds.llm import mail
 WRAP = 12
 #: A word recurs if it stands three times within this many words.
 NEAR = 80
+#: The share of a line's long words that must recur for the line to be repetition; sentences of one author repeat less.
+AGAIN = 0.85
 #: Shapes that count as few.
 FEW = 8
 
@@ -33,7 +35,7 @@ _QUOTED = re.compile(r"(?:[>|][ \t]?)+")
 _BULLET = re.compile(r"(?:\(?\d{1,3}[.)]|[-+*•·>|]+)(?=\s|$)\s*")
 _END = re.compile(r"[.!?](?:\s+[^\W\d_a-zß-ÿ]|\s*$)")
 _SEPARATED = re.compile(r"[,;|/•·]")
-_RECORD = re.compile(r"\d{1,2}:\d\d|\d{4}-\d\d-\d\d|\w=\w|#\d|[{}\[\]()]\s*[:=]|\[\w|\w\(|\S {2,}\S|\t|@\w|\s-\s.*\d|\d-\d")
+_RECORD = re.compile(r"\d{1,2}:\d\d|\d{4}-\d\d-\d\d|\w=\w|#\d|[{}\[\]()]\s*[:=]|\[\w|\w\(|\S {2,}\S|\t|@\w|\d-\d")
 _RULE = re.compile(r"[*_\-=#~+]{3,}")
 #: Openings and words of the notices that mail programs and lists add (fixed values, several languages).
 _NOTICE = re.compile(r"confidential|privileged|intended (?:only )?for|meant only for|addressee|vertraulich|confidentiel|confidencial|riservat|you receive this (?:mail|message)|member of the list|before printing|scanned for", re.I)
@@ -148,7 +150,7 @@ def line_shapes(lines: list[str]) -> list[Shape]:
             kind = "record"
         elif size >= 5 and separators >= 2 and size <= 4.6 * (separators + 1) and not _END.search(line[:-1]):
             kind = "list"
-        elif recurring >= 0.75:
+        elif recurring >= AGAIN:
             kind = "recurring"
         else:
             kind = "sentence" if _END.search(line) or size > 4 else "words"

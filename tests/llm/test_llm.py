@@ -162,7 +162,7 @@ TABLE = "player    min   pts\n" + "\n".join(f"Player {i}    {i}    {i * 2}" for
     [
         (PROSE, False), (LOG, False), (TABLE, False), ("\n".join(f"#{i} open Report about item {i}" for i in range(20)), False), ("", False), ("\n\n", False),
         ("\n".join(f"https://shop{i}.example/p/{i}" for i in range(15)), True), ("\n".join(f"Cheap Shoes: http://x{i}.example/" for i in range(12)), True),
-        (", ".join(["cheap shoes", "buy shoes", "shoes online", "best price"] * 12), True), ("\n".join(["#shoes #cheap #sale #shoes"] * 9), True), (" | ".join(["odds", "bonus", "free bet", "slots"] * 15), True),
+        (", ".join(["cheap shoes", "buy shoes", "shoes online", "best price"] * 12), True), ("\n".join(["#shoes #cheap #sale #shoes"] * 9), True), (" | ".join(["odds", "bonus", "free bet", "slots"] * 15), True), (" - ".join(["größe 44", "schuhe", "billig", "outlet"] * 15), True),
         ("Shoes cheap online shoes. Cheap shoes for cheap. Online cheap and shoes. " * 10, True), (PROSE + "\n\n" + "http://one.example/a\nhttp://two.example/b", False),
         (PROSE + "\n" + " ".join(["tickets resale courtside"] * 40), True), ("shoes " * 50_000, True),
         ("\n".join(f"{sentence}.\nRead more: https://news.example/{i}" for i, sentence in enumerate(PROSE.split("."))), False),
