@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,19 +29,31 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    """The session's shuffle partition count."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code, once per application, so that Python functions find it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="manyworlds-code-")) / "manyworlds.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
+def bounded(df: DataFrame, most: int) -> list:
+    """The rows of a table that is known to be small; more than `most` are an error rather than a full driver."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows where few were expected")
+    return rows
 
 
 def pieces(count: int, each: int) -> int:
     """How many pieces of at most `each` hold `count` items (1 at least)."""
     return max(1, math.ceil(count / each))
-
-
-def unused(df: DataFrame, stem: str) -> str:
-    """A column name starting with `stem` that `df` doesn't have, whatever columns its rows bring."""
-    taken, name = {c.lower() for c in df.columns}, stem
-    while name.lower() in taken:
-        name += "_"
-    return name

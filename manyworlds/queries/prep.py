@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyworlds.operators import lenient, orphans, rolling, skew, wide
+from manyworlds.plans.runtime import bounded
 from manyworlds.sources import table
 
 # The attributes of skills and the types of their values: the yes/no ones first.
@@ -80,7 +81,7 @@ def line_layouts(codes: list[str]) -> dict[str, lenient.Layout]:
 
 def _codes(spark: SparkSession, root: str) -> list[str]:
     """The team codes: a fixed table of 30 rows."""
-    return sorted(r[0] for r in table(spark, root, "teams").select("team_code").filter("team_code is not null").distinct().collect())
+    return sorted(r[0] for r in bounded(table(spark, root, "teams").select("team_code").filter("team_code is not null").distinct(), 10_000))
 
 
 def _lines(spark: SparkSession, root: str) -> DataFrame:
