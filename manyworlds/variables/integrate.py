@@ -305,9 +305,10 @@ def conf_naive(df: DataFrame, by: Sequence[str] = (), samples: int = SAMPLES, se
 
 def conf_sample(df: DataFrame, by: Sequence[str] = (), samples: int = SAMPLES, seed: int = 0, name: str = "conf") -> DataFrame:
     """Confidence by counting coverage: the sum over rows of P(row) times the mean, over the worlds with the row, of one
-    over the number of the group's rows in that world. Rows found in no sampled world add nothing."""
-    keyed = df.withColumn("_row", F.struct(*df.columns))
-    spread = keyed.select(*by, F.xxhash64(F.col("_row").cast("string")).alias("_id"), conf_one(ATOMS, samples, seed).alias("_p"), F.posexplode(row_worlds(F.lit(None).cast(EQN), ATOMS, samples, seed)).alias("world", "v")).filter("v is not null")
+    over the number of the group's rows in that world. Rows of equal constraints are one event; rows found in no sampled
+    world add nothing."""
+    events = df.select(*by, ATOMS, F.xxhash64(F.to_json(ATOMS)).alias("_id")).dropDuplicates([*by, "_id"])
+    spread = events.select(*by, "_id", conf_one(ATOMS, samples, seed).alias("_p"), F.posexplode(row_worlds(F.lit(None).cast(EQN), ATOMS, samples, seed)).alias("world", "v")).filter("v is not null")
     tally = spread.groupBy(*by, "world").agg(F.count(F.lit(1)).alias("_n"))
     both = spread.join(tally, [*by, "world"])
     rows = both.groupBy(*by, "_id").agg((F.first("_p") * F.avg(1 / F.col("_n"))).alias("_part"))

@@ -55,6 +55,7 @@ def test_world_aggregates(table):
     assert I.expectation_max(some, "u", samples=4000).first()[0] == pytest.approx(3 / 4000 * (10**4 - 5**4), abs=0.2)  # the density of the largest of three, above 5
     assert I.conf_naive(some, samples=4000).first()[0] == pytest.approx(1 - 0.5**3, abs=0.03)
     assert I.conf_sample(some, samples=4000).first()[0] == pytest.approx(1 - 0.5**3, abs=0.03)
+    assert I.conf_sample(some.union(some), samples=4000).first()[0] == pytest.approx(1 - 0.5**3, abs=0.03)
 
 
 def test_max_of_constants(spark):
