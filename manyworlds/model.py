@@ -34,13 +34,15 @@ class UTable:
     """A table with a condition column.
 
     `kind` is certain, independent (every row has a variable of its own) or uncertain; `width` bounds the number of atoms
-    of a condition. Duplicates are kept throughout: tables are bags.
+    of a condition, `sources` names the operations that made its variables (None: not known), so that tables with
+    different ones are known to be independent. Duplicates are kept throughout: tables are bags.
     """
 
-    def __init__(self, df: DataFrame, kind: str = CERTAIN, width: int | None = None) -> None:
+    def __init__(self, df: DataFrame, kind: str = CERTAIN, width: int | None = None, sources: frozenset[str] | None = None) -> None:
         if COND not in df.columns:
             df = df.withColumn(COND, certain())
         self.df, self.kind = df, kind
+        self.sources = frozenset() if kind == CERTAIN else sources
         self.width = width if width is not None else {CERTAIN: 0, INDEPENDENT: 1}.get(kind)
 
     # --- what it is ---------------------------------------------------------------------------------------------
@@ -60,7 +62,7 @@ class UTable:
             raise NotSupported("the rows of an uncertain table aren't data by themselves; ask for possible() or conf()")
         return self.df.drop(COND)
 
-    def _chance(self) -> Column:
+    def chance(self) -> Column:
         """The probability of a row's condition. Of one atom it is read off, so that the names in it needn't be made."""
         if self.width is not None and self.width <= 1:
             return F.coalesce(F.get(F.col(COND), F.lit(0))["p"], F.lit(1.0))
@@ -78,24 +80,24 @@ class UTable:
 
     def where(self, condition: Column | str) -> UTable:
         """Rows whose data satisfy a condition; theirs stay as they are."""
-        return UTable(self.df.filter(condition), self.kind, self.width)
+        return UTable(self.df.filter(condition), self.kind, self.width, self.sources)
 
     def select(self, *columns: str | Column) -> UTable:
         """Projection; the condition always comes along. ``*`` stands for the data columns."""
         wanted: list = []
         for c in columns:
             wanted += self.columns if isinstance(c, str) and c == "*" else [c]
-        return UTable(self.df.select(*wanted, COND), self.kind, self.width)
+        return UTable(self.df.select(*wanted, COND), self.kind, self.width, self.sources)
 
     def with_column(self, name: str, value: Column) -> UTable:
         """A computed column."""
         if name.lower() == COND:
             raise NotSupported("the condition can't be assigned")
-        return UTable(self.df.withColumn(name, value), self.kind, self.width)
+        return UTable(self.df.withColumn(name, value), self.kind, self.width, self.sources)
 
     def alias(self, name: str) -> UTable:
         """The data columns under qualified names ``name_column``."""
-        return UTable(self.df.select(*(F.col(c).alias(f"{name}_{c}") for c in self.columns), COND), self.kind, self.width)
+        return UTable(self.df.select(*(F.col(c).alias(f"{name}_{c}") for c in self.columns), COND), self.kind, self.width, self.sources)
 
     def join(self, other: UTable, on: str | Sequence[str] | Column | None = None, how: str = "inner") -> UTable:
         """Rows of both that can exist together. Only inner, cross and (against a certain table) semi and anti joins: the
@@ -103,7 +105,7 @@ class UTable:
         if how in ("left_semi", "semi", "left_anti", "anti"):
             if not other.is_certain:
                 raise NotSupported("sub-queries must be certain")
-            return UTable(self.df.join(other.df.drop(COND), on, how), self.kind, self.width)
+            return UTable(self.df.join(other.df.drop(COND), on, how), self.kind, self.width, self.sources)
         if how not in ("inner", "cross"):
             if self.is_certain and other.is_certain:
                 return UTable(self.data().join(other.data(), on, how))
@@ -157,11 +159,11 @@ class UTable:
         if COND in values:
             raise NotSupported("the condition can't be updated")
         hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-        return UTable(self.df.select(*(F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in self.df.columns)), self.kind, self.width)
+        return UTable(self.df.select(*(F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in self.df.columns)), self.kind, self.width, self.sources)
 
     def delete(self, where: Column) -> UTable:
         """Without the rows where a condition on the data holds."""
-        return UTable(self.df.filter(~F.coalesce(where, F.lit(False))), self.kind, self.width)
+        return UTable(self.df.filter(~F.coalesce(where, F.lit(False))), self.kind, self.width, self.sources)
 
     # --- outside forms ------------------------------------------------------------------------------------------
 
@@ -209,16 +211,16 @@ class UTable:
 
     def tconf(self, name: str = "tconf") -> DataFrame:
         """Each row, duplicates included, with the probability of its own condition."""
-        return self.df.select(*self.columns, self._chance().alias(name))
+        return self.df.select(*self.columns, self.chance().alias(name))
 
     def esum(self, value: str | Column, *by: str | Column, name: str = "esum") -> DataFrame:
         """The expected sum of a value per group: by linearity, whatever the conditions are."""
         value = F.col(value) if isinstance(value, str) else value
-        return self._expected(value * self._chance(), by, name)
+        return self._expected(value * self.chance(), by, name)
 
     def ecount(self, *by: str | Column, name: str = "ecount") -> DataFrame:
         """The expected number of rows per group."""
-        return self._expected(self._chance(), by, name)
+        return self._expected(self.chance(), by, name)
 
     def _expected(self, value: Column, by: Sequence[str | Column], name: str) -> DataFrame:
         self._uncertain("an expectation")

@@ -21,8 +21,8 @@ from manyworlds.model import INDEPENDENT, UNCERTAIN, NotSupported, UTable
 _calls, _run = itertools.count(1), uuid.uuid4().hex
 
 
-def _salt(salt: str | None) -> Column:
-    return F.lit(salt if salt is not None else f"{_run}/{next(_calls)}")
+def _salt(salt: str | None) -> str:
+    return salt if salt is not None else f"{_run}/{next(_calls)}"
 
 
 def _plain(source: DataFrame | UTable, what: str) -> DataFrame:
@@ -58,12 +58,12 @@ def repair_key(source: DataFrame | UTable, key: Sequence[str], by: str | Column
     own = _hash(name, list(key))
     chance = F.col("_w") / F.col("_sum")
     # A single alternative is certain, and stays an atom all the same: the table's form doesn't depend on its rows.
-    return UTable(joined.select(*data, atom(own, _hash(name, data), chance).alias(COND)), UNCERTAIN, 1)
+    return UTable(joined.select(*data, atom(own, _hash(name, data), chance).alias(COND)), UNCERTAIN, 1, frozenset([name]))
 
 
-def _hash(salt: Column, columns: Sequence[str]) -> Column:
+def _hash(salt: str, columns: Sequence[str]) -> Column:
     """A 64-bit name that tells nulls and empty values apart."""
-    return F.xxhash64(salt, *(F.struct(F.col(c).isNull(), F.col(c)) for c in columns)) if columns else F.xxhash64(salt, F.lit(0))
+    return F.xxhash64(F.lit(salt), *(F.struct(F.col(c).isNull(), F.col(c)) for c in columns)) if columns else F.xxhash64(F.lit(salt), F.lit(0))
 
 
 def pick_tuples(source: DataFrame | UTable, chance: str | float | Column = 0.5, *, row_id: Sequence[str] | None = None, salt: str | None = None) -> UTable:
@@ -83,7 +83,7 @@ def pick_tuples(source: DataFrame | UTable, chance: str | float | Column = 0.5,
         copies = picked.groupBy(*data).agg(F.first("_chance").alias("_chance"), F.count(F.lit(1)).alias("_copies"))
         picked = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
         v = F.xxhash64(_hash(name, data), F.col("_copy"))
-    return UTable(picked.select(*data, atom(v, F.lit(1), F.col("_chance")).alias(COND)), INDEPENDENT, 1)
+    return UTable(picked.select(*data, atom(v, F.lit(1), F.col("_chance")).alias(COND)), INDEPENDENT, 1, frozenset([name]))
 
 
 def as_certain(df: DataFrame) -> UTable:

@@ -387,3 +387,15 @@ def sql_approximate_conf(spark: SparkSession, root: str) -> DataFrame:
     w.sql("create table j as select n.n_regionkey, s.s_suppkey from n, s where n.n_nationkey = s.s_nationkey")
     out = w.sql("select n_regionkey, conf() as p, conf('R', 0.02) as r, conf('A', 0.02) as a, aconf(0.1, 0.001) as m from j group by n_regionkey").data()
     return out.select("n_regionkey", (F.abs(F.col("r") - F.col("p")) <= 0.02 * F.col("p") + 1e-9).alias("r"), (F.abs(F.col("a") - F.col("p")) <= 0.02 + 1e-9).alias("a"), (F.abs(F.col("m") - F.col("p")) <= 0.1 * F.col("p")).alias("m"))
+
+
+@query(f"""with l as (select l_orderkey, 1 - product(1 - ({_LINE_P})) as p from lineitem where l_quantity > 30 group by 1)
+  select o_orderpriority, round(1 - product(1 - ({_ORDER_P}) * p), 6) as p from orders join l on l_orderkey = o_orderkey where o_orderdate >= timestamp '1997-01-01' group by 1""")
+def sql_hierarchical_conf(spark: SparkSession, root: str) -> DataFrame:
+    """The SQL front end finds the safe plan of a hierarchical join by itself."""
+    w = Worlds(spark)
+    w.register("orders", table(spark, root, "orders"))
+    w.register("lineitem", table(spark, root, "lineitem"))
+    w.sql(f"create table o as pick tuples from orders with probability {_ORDER_P}")
+    w.sql(f"create table l as pick tuples from lineitem with probability {_LINE_P}")
+    return w.sql("select o_orderpriority, round(conf(), 6) as p from o, l where o_orderkey = l_orderkey and l_quantity > 30 and o_orderdate >= timestamp '1997-01-01' group by o_orderpriority").data()

@@ -67,6 +67,35 @@ def test_pick_tuples_and_changes(spark, w):
     assert w.sql("select * from s a, (select 1 as one) b").columns == ["id", "amount", "prob", "one"]
 
 
+def test_hierarchical_joins_take_safe_plans(spark, w, monkeypatch):
+    w.register("r", spark.createDataFrame([(i, i % 2, 0.1 + i / 20) for i in range(6)], "a int, g int, p double"))
+    w.register("s", spark.createDataFrame([(i % 6, i % 3, 0.05 * i) for i in range(1, 13)], "a int, b int, q double"))
+    w.register("t", spark.createDataFrame([(i, 0.3) for i in range(3)], "b int, q double"))
+    w.sql("create table ur as pick tuples from r with probability p")
+    w.sql("create table us as pick tuples from s with probability q")
+    w.sql("create table ut as pick tuples from t with probability q")
+    w.sql("create table ur2 as select a from ur where g = 0")
+    queries = {
+        "select g, conf() as c from ur, us where ur.a = us.a and us.q between 0.1 and 0.5 and g >= 0 group by g": True,
+        "select conf() as c from ur x, us y where x.a = y.a": True,
+        "select x.g, y.b, conf() as c from ur x, us y where x.a = y.a and x.p > 0.1 group by x.g, y.b": True,
+        "select conf() as c from ur x, us y, ut z where x.a = y.a and y.b = z.b": False,
+        "select conf() as c from ur x, ur2 y where x.a = y.a": False,
+        "select conf() as c from ur x, us y where x.a = y.a or x.g = 1": False,
+        "select conf() as c from ur x, us y where x.a < y.a": False,
+        "select b, conf() as c from us, t where us.b = t.b and t.q < 1 group by us.b": True,
+    }
+    for text, safe in queries.items():
+        text = text.replace("select b,", "select us.b,")
+        got = w.sql(text)
+        plan = got.df._jdf.queryExecution().executedPlan().toString()
+        assert ("InPandas" not in plan and "Python" not in plan and "Arrow" not in plan) == safe, text
+        with monkeypatch.context() as m:
+            m.setattr(w, "_safe", lambda *a: None)
+            want = w.sql(text)
+        assert [x[:-1] for x in rows(got)] == [x[:-1] for x in rows(want)] and [x[-1] for x in rows(got)] == pytest.approx([x[-1] for x in rows(want)], abs=2e-5), text
+
+
 @pytest.mark.parametrize(
     "text",
     [
@@ -81,3 +110,11 @@ def test_what_is_refused(spark, w, text):
     w.sql("create table c as repair key type in r weight by p")
     with pytest.raises(NotSupported):
         w.sql(text)
+
+
+def test_triangles_in_sql(spark, w):
+    w.register("total_order", spark.createDataFrame([(i, j) for i in range(4) for j in range(i + 1, 4)], "u int, v int"))
+    w.register("inout", spark.createDataFrame([(1, 0.5), (0, 0.5)], "bit int, p double"))
+    w.sql("create table subset as repair key u, v in (select u, v, bit, p from total_order, inout) weight by p")
+    w.sql("create table edge0 as select u, v from subset where bit = 1")
+    assert rows(w.sql("select conf() as p from edge0 a, edge0 b, edge0 c where a.v = b.u and b.v = c.v and a.u = c.u")) == [(0.35938,)]
