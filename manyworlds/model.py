@@ -35,14 +35,16 @@ class UTable:
 
     `kind` is certain, independent (every row has a variable of its own) or uncertain; `width` bounds the number of atoms
     of a condition, `sources` names the operations that made its variables (None: not known), so that tables with
-    different ones are known to be independent. Duplicates are kept throughout: tables are bags.
+    different ones are known to be independent. `light` are the same rows with unnamed variables, where naming them costs
+    a shuffle: as long as rows are independent of each other, their chances are all that most questions need. Duplicates
+    are kept throughout: tables are bags.
     """
 
-    def __init__(self, df: DataFrame, kind: str = CERTAIN, width: int | None = None, sources: frozenset[str] | None = None) -> None:
+    def __init__(self, df: DataFrame, kind: str = CERTAIN, width: int | None = None, sources: frozenset[str] | None = None, light: DataFrame | None = None) -> None:
         if COND not in df.columns:
             df = df.withColumn(COND, certain())
         self.df, self.kind = df, kind
-        self.sources = frozenset() if kind == CERTAIN else sources
+        self.sources, self.light = frozenset() if kind == CERTAIN else sources, light
         self.width = width if width is not None else {CERTAIN: 0, INDEPENDENT: 1}.get(kind)
 
     # --- what it is ---------------------------------------------------------------------------------------------
@@ -72,6 +74,15 @@ class UTable:
         if self.is_certain:
             raise NotSupported(f"{what} can't be used on a certain table")
 
+    def mapped(self, f: Callable[[DataFrame], DataFrame]) -> UTable:
+        """The table after a change that neither joins nor repeats rows."""
+        return UTable(f(self.df), self.kind, self.width, self.sources, None if self.light is None else f(self.light))
+
+    @property
+    def chances(self) -> DataFrame:
+        """The rows with conditions that are good for their probabilities, and for nothing else if rows are independent."""
+        return self.df if self.light is None or self.kind != INDEPENDENT else self.light
+
     def explain(self, mode: str = "formatted") -> None:
         """The physical plan."""
         self.df.explain(mode)
@@ -80,24 +91,24 @@ class UTable:
 
     def where(self, condition: Column | str) -> UTable:
         """Rows whose data satisfy a condition; theirs stay as they are."""
-        return UTable(self.df.filter(condition), self.kind, self.width, self.sources)
+        return self.mapped(lambda df: df.filter(condition))
 
     def select(self, *columns: str | Column) -> UTable:
         """Projection; the condition always comes along. ``*`` stands for the data columns."""
         wanted: list = []
         for c in columns:
             wanted += self.columns if isinstance(c, str) and c == "*" else [c]
-        return UTable(self.df.select(*wanted, COND), self.kind, self.width, self.sources)
+        return self.mapped(lambda df: df.select(*wanted, COND))
 
     def with_column(self, name: str, value: Column) -> UTable:
         """A computed column."""
         if name.lower() == COND:
             raise NotSupported("the condition can't be assigned")
-        return UTable(self.df.withColumn(name, value), self.kind, self.width, self.sources)
+        return self.mapped(lambda df: df.withColumn(name, value))
 
     def alias(self, name: str) -> UTable:
         """The data columns under qualified names ``name_column``."""
-        return UTable(self.df.select(*(F.col(c).alias(f"{name}_{c}") for c in self.columns), COND), self.kind, self.width, self.sources)
+        return self.mapped(lambda df: df.select(*(F.col(c).alias(f"{name}_{c}") for c in self.columns), COND))
 
     def join(self, other: UTable, on: str | Sequence[str] | Column | None = None, how: str = "inner") -> UTable:
         """Rows of both that can exist together. Only inner, cross and (against a certain table) semi and anti joins: the
@@ -105,7 +116,7 @@ class UTable:
         if how in ("left_semi", "semi", "left_anti", "anti"):
             if not other.is_certain:
                 raise NotSupported("sub-queries must be certain")
-            return UTable(self.df.join(other.df.drop(COND), on, how), self.kind, self.width, self.sources)
+            return self.mapped(lambda df: df.join(other.df.drop(COND), on, how))
         if how not in ("inner", "cross"):
             if self.is_certain and other.is_certain:
                 return UTable(self.data().join(other.data(), on, how))
@@ -159,11 +170,11 @@ class UTable:
         if COND in values:
             raise NotSupported("the condition can't be updated")
         hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-        return UTable(self.df.select(*(F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in self.df.columns)), self.kind, self.width, self.sources)
+        return self.mapped(lambda df: df.select(*(F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns)))
 
     def delete(self, where: Column) -> UTable:
         """Without the rows where a condition on the data holds."""
-        return UTable(self.df.filter(~F.coalesce(where, F.lit(False))), self.kind, self.width, self.sources)
+        return self.mapped(lambda df: df.filter(~F.coalesce(where, F.lit(False))))
 
     # --- outside forms ------------------------------------------------------------------------------------------
 
@@ -206,12 +217,12 @@ class UTable:
 
     def possible(self, *columns: str | Column) -> DataFrame:
         """The distinct rows that some world has. On a certain table, its distinct rows."""
-        some = self.df.filter(~F.exists(COND, lambda a: a["p"] <= 0))
+        some = self.chances.filter(~F.exists(COND, lambda a: a["p"] <= 0))
         return some.select(*(columns or self.columns)).distinct()
 
     def tconf(self, name: str = "tconf") -> DataFrame:
         """Each row, duplicates included, with the probability of its own condition."""
-        return self.df.select(*self.columns, self.chance().alias(name))
+        return self.chances.select(*self.columns, self.chance().alias(name))
 
     def esum(self, value: str | Column, *by: str | Column, name: str = "esum") -> DataFrame:
         """The expected sum of a value per group: by linearity, whatever the conditions are."""
@@ -225,7 +236,8 @@ class UTable:
     def _expected(self, value: Column, by: Sequence[str | Column], name: str) -> DataFrame:
         self._uncertain("an expectation")
         total = F.sum(value)
-        return self.df.groupBy(*_columns(by)).agg(total.alias(name)) if by else self.df.agg(F.coalesce(total, F.lit(0.0)).alias(name))
+        rows = self.chances
+        return rows.groupBy(*_columns(by)).agg(total.alias(name)) if by else rows.agg(F.coalesce(total, F.lit(0.0)).alias(name))
 
     def conf(self, *by: str | Column, name: str = "conf", method: str = "auto", steps: int = 2_000_000, group_clauses: int = GROUP_CLAUSES) -> DataFrame:
         """The probability that a group has a row, exactly. Without `by`, of any row: 0 if there is none.
@@ -256,16 +268,16 @@ class UTable:
         # The parts of a split group share the chance to be off.
         return self._conf_solved(by, name, lambda clauses, p, seed, parts: confidence.sampled(clauses, p, epsilon, delta / parts, seed), group_clauses)
 
-    def _keyed(self, by: Sequence[str | Column]) -> tuple[DataFrame, list[str], list[str]]:
+    def _keyed(self, by: Sequence[str | Column], rows: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
         """The lineage with grouping columns _g0, _g1, ..., their names, and the names to give them in the end."""
         cols = _columns(by)
-        named = [self.df.select(c).columns[0] for c in cols]
+        named = [rows.select(c).columns[0] for c in cols]
         keys = [f"_g{i}" for i in range(len(cols))]
-        return self.df.select(*(c.alias(k) for c, k in zip(cols, keys)), COND), keys, named
+        return rows.select(*(c.alias(k) for c, k in zip(cols, keys)), COND), keys, named
 
     def _conf_native(self, by: Sequence[str | Column], name: str) -> DataFrame:
         """Conditions of at most one atom: a variable's values exclude each other, variables are independent."""
-        rows, keys, named = self._keyed(by)
+        rows, keys, named = self._keyed(by, self.chances)
         a = F.get(F.col(COND), F.lit(0))
         atoms = rows.select(*keys, a["v"].alias("_v"), a["d"].alias("_d"), F.coalesce(a["p"], F.lit(1.0)).alias("_p"))
         if self.kind != INDEPENDENT:
@@ -276,7 +288,7 @@ class UTable:
         return done.select(*(F.col(k).alias(n) for k, n in zip(keys, named)), name)
 
     def _conf_solved(self, by: Sequence[str | Column], name: str, solver: Callable, group_clauses: int) -> DataFrame:
-        rows, keys, named = self._keyed(by)
+        rows, keys, named = self._keyed(by, self.df)
         # Equal clauses are one; the map side drops most of them. Atoms are compared without their probabilities.
         shape = F.transform(COND, lambda a: F.struct(a["v"].alias("v"), a["d"].alias("d")))
         clauses = checkpoint(rows.withColumn("_shape", shape).groupBy(*keys, "_shape").agg(F.first(COND).alias(COND)).drop("_shape"))

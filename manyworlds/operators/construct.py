@@ -70,20 +70,21 @@ def pick_tuples(source: DataFrame | UTable, chance: str | float | Column = 0.5,
     """Each row, repeated ones too, is there or not on its own, with its `chance` (0.5 unless stated).
 
     A chance outside [0, 1] is an error; rows of chance 0 or null are in no world. Rows need names: `row_id` columns that
-    tell them apart spare the numbering of equal rows that is done otherwise (only among rows equal in every column).
+    tell them apart spare the numbering of equal rows, which is done otherwise where a question needs the names (a join
+    with another uncertain table, a union, a written table).
     """
     df = _plain(source, "pick_tuples")
     p = probability(F.col(chance) if isinstance(chance, str) else chance if isinstance(chance, Column) else F.lit(float(chance)))
     name, data = _salt(salt), df.columns
     picked = df.withColumn("_chance", p).filter(F.col("_chance") > 0)
     if row_id is not None:
-        v = _hash(name, list(row_id))
-    else:
-        # Equal rows are interchangeable: each distinct one is kept once with its number of copies, which are numbered.
-        copies = picked.groupBy(*data).agg(F.first("_chance").alias("_chance"), F.count(F.lit(1)).alias("_copies"))
-        picked = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-        v = F.xxhash64(_hash(name, data), F.col("_copy"))
-    return UTable(picked.select(*data, atom(v, F.lit(1), F.col("_chance")).alias(COND)), INDEPENDENT, 1, frozenset([name]))
+        return UTable(picked.select(*data, atom(_hash(name, list(row_id)), F.lit(1), F.col("_chance")).alias(COND)), INDEPENDENT, 1, frozenset([name]))
+    # Equal rows are interchangeable: each distinct one is kept once with its number of copies, which are numbered.
+    copies = picked.groupBy(*data).agg(F.first("_chance").alias("_chance"), F.count(F.lit(1)).alias("_copies"))
+    numbered = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+    v = F.xxhash64(_hash(name, data), F.col("_copy"))
+    light = picked.select(*data, atom(F.lit(0), F.lit(1), F.col("_chance")).alias(COND))
+    return UTable(numbered.select(*data, atom(v, F.lit(1), F.col("_chance")).alias(COND)), INDEPENDENT, 1, frozenset([name]), light)
 
 
 def as_certain(df: DataFrame) -> UTable:
