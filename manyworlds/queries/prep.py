@@ -96,19 +96,30 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return lines.unionByName(births).unionByName(matches)
 
 
+def _good(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """The good lines of a file: ``row_id, f``, the trimmed fields, null where blank."""
+    f = F.transform("fields", lambda x: F.when(F.trim(x) != "", F.trim(x)))
+    return _lines(spark, root).filter((F.col("kind") == kind) & F.col("reason").isNull()).select("row_id", f.alias("f"))
+
+
 def p6_loaded_performance(spark: SparkSession, root: str) -> DataFrame:
     """The good lines of the performance file, typed."""
-    f = F.transform("fields", lambda x: F.when(F.trim(x) != "", F.trim(x)))
-    good = _lines(spark, root).filter("kind = 'performance' and reason is null").select("row_id", f.alias("f"))
+    good = _good(spark, root, "performance")
     return good.select(F.col("row_id").alias("rec_id"), F.col("f")[0].alias("player"), F.col("f")[1].cast("date").alias("match_date"), F.col("f")[2].alias("match"), F.col("f")[3].cast("int").alias("points"))
 
 
+def p6_loaded_playerinfo(spark: SparkSession, root: str) -> DataFrame:
+    """The good lines of the playerinfo file, dates of birth typed; heights and weights mix units and stay as written."""
+    f = F.col("f")
+    return _good(spark, root, "playerinfo").select(F.col("row_id").alias("rec_id"), f[0].alias("team"), f[1].alias("player"), lenient.birth_date_column(f[2]).alias("dob"), f[3].alias("height"), f[4].alias("weight"))
+
+
 def p6_repairs(spark: SparkSession, root: str) -> DataFrame:
     """The bad lines with the edits of their cheapest parse."""
     return _lines(spark, root).filter("reason is not null").select(F.col("row_id").alias("rec_id"), F.col("kind").alias("src_file"), "reason", F.array_join("edits", "; ").alias("edits"))
 
 
-QUERIES = {f.__name__: f for f in (p2_skills_wide, p2_attribute_types, p3_found, p3_orphans_per_month, p4_found, p4_node_totals, p4_bit_rollup, p5_rolling_points, p5_rolling_points_once, p6_found, p6_loaded_performance, p6_repairs)}
+QUERIES = {f.__name__: f for f in (p2_skills_wide, p2_attribute_types, p3_found, p3_orphans_per_month, p4_found, p4_node_totals, p4_bit_rollup, p5_rolling_points, p5_rolling_points_once, p6_found, p6_loaded_performance, p6_loaded_playerinfo, p6_repairs)}
 
 
 def _typed_sql(kind: str, v: str) -> str:
@@ -209,4 +220,7 @@ SQL = {
       union all select 'playerinfo', info_id, 'value' from playerinfo where trim(dob, ' ') <> '' and not {_birth_ok("trim(dob, ' ')")}
       union all select 'performance', perf_id, 'value' from performance where trim(match, ' ') <> '' and not {_match_ok("trim(match, ' ')")}""",
     "p6_loaded_performance": _LINES_SQL + " select rec_id, nullif(p0, '') as player, cast(p1 as date) as match_date, nullif(p2, '') as match, cast(nullif(p3, '') as integer) as points from judged where src_file = 'performance' and reason is null",
+    "p6_loaded_playerinfo": _LINES_SQL
+    + f""", good as (select rec_id, {", ".join(f"nullif({_field_sql(i, 5)}, '') as {n}" for i, n in enumerate(("team", "player", "born", "height", "weight")))} from judged where src_file = 'playerinfo' and reason is null)
+      select rec_id, team, player, {_BIRTH_SQL.format(v="born")} as dob, height, weight from good""",
 }

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from manyworlds.operators import lenient, orphans, rolling, skew, wide
-from manyworlds.queries.prep import SKILL_TYPES, line_layouts
+from manyworlds.queries.prep import QUERIES, SKILL_TYPES, line_layouts
 
 
 def rows(df):
@@ -199,6 +199,15 @@ def test_load_lines(spark):
     assert lenient.load_lines(df.limit(0), "rec_id", "src_file", "raw", LAYOUTS).count() == 0
 
 
+def test_good_lines_of_both_files_are_loaded(spark, tmp_path):
+    lines = [("performance", "A|2024-01-31|vs ABC|1"), ("playerinfo", 'T|"A ""b"" | c"| 4/15/1992 |6-1|'), ("playerinfo", "|B|5 Nov 1981|185 cm|200\r"), ("playerinfo", "T|A||6-1|200"), ("playerinfo", "T|A|1949-12-31|6-1|200"), ("playerinfo", "T|A|6-1|200"), ("other", "a")]
+    spark.createDataFrame([(i, *x) for i, x in enumerate(lines)], "rec_id bigint, src_file string, raw string").write.parquet(str(tmp_path / "raw_record.parquet"))
+    spark.createDataFrame([("ABC",)], "team_code string").write.parquet(str(tmp_path / "teams.parquet"))
+    want = [(1, "T", 'A "b" | c', date(1992, 4, 15), "6-1", None), (2, None, "B", date(1981, 11, 5), "185 cm", "200"), (3, "T", "A", None, "6-1", "200")]
+    assert rows(QUERIES["p6_loaded_playerinfo"](spark, str(tmp_path))) == want
+    assert rows(QUERIES["p6_loaded_performance"](spark, str(tmp_path))) == [(0, "A", date(2024, 1, 31), "vs ABC", 1)]
+
+
 def test_columns_agree_with_the_line_checks(spark):
     texts = ["2001-02-29", "2000-02-29", "1/2/1990", "01/02/1990", "1/2/90", "12/31/2010", "1/1/2011", "5 Nov 1981", "05 Nov 1981", "5 NOV 1981", "31 Feb 1990", " 1990-01-01 ", "", " ", None, "1950-01-01", "1990-1-1", "19900101", "1990-01-01\n"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
