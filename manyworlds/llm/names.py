@@ -8,7 +8,8 @@ spelt names of exactly one person share identifies that person, and one that sev
 spelling takes its most specific form that anybody has, and is linked if that form is rare enough, which is alone.
 
 Two passes come before: one finds which words are used as given names (by their places), the other which surnames are
-slips of which (by forms with one letter left out, each group of equal forms being reduced to its most frequent word).
+slips of which (by forms with one letter left out, each group of equal forms being reduced to its most frequent word;
+short surnames need the given name and a far more frequent word besides).
 Groups are reduced by aggregation throughout, so no step pairs the members of a group but the last, which states the
 result: each two spellings of one person.
 """
@@ -48,6 +49,8 @@ _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "ß": "ss"
 LEAST_USES, PARTS = 3, 20_000
 #: A frequent word that is one slip from one used this many times as often is taken for its slip.
 SLIP = 8
+#: Surnames of so many letters, from and to, have too few to tell a slip by its letters alone.
+SHORT = 3, 5
 
 _MEANINGS: dict[str, tuple[str, ...]] = {}
 for _full, _short in NICKNAMES.items():
@@ -238,6 +241,30 @@ def given_names(names: DataFrame) -> dict[str, int]:
     return {r["word"]: r["given"] for r in used.filter((F.col("given") >= least) & (F.col("given") > 2 * F.col("surname"))).collect()}
 
 
+def mended_surnames(read: DataFrame) -> DataFrame:
+    """`read`, short surname words (SHORT letters) that are slips replaced by the word that was meant.
+
+    Ordinary short surnames are often one letter apart, so a letter isn't evidence enough: the word that was meant must
+    be in SLIP times as many spellings and be used with the same given name (with the same initial, where the spelling
+    has no more). A spelling with neither says nothing and stays. Forms with a letter left out, each under its given
+    names, are reduced to their most frequent word, as in :func:`surname_roots`.
+    """
+    low, high = SHORT
+    short = read.filter(F.length("word").between(low, high))
+    first = F.transform("given", lambda g: F.concat(F.lit("i:"), F.substring(g, 1, 1)))
+    full = F.transform("given", lambda g: F.concat(F.lit("g:"), g))
+    initial = F.when(F.col("initial") != "", F.array(F.concat(F.lit("i:"), F.col("initial")))).otherwise(F.array().cast("array<string>"))
+    uses = short.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    known = short.select("word", F.explode(F.array_distinct(F.concat(full, first, initial))).alias("key")).distinct().join(uses, "word")
+    left_out = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word"))))
+    spread = checkpoint(known.select("word", "key", "n", F.explode(F.array_distinct(F.concat(F.array("word"), left_out))).alias("form")))
+    best = spread.groupBy("form", "key").agg(F.max(F.struct("n", "word")).alias("top"))
+    meant = spread.join(best, ["form", "key"]).filter(F.col("top.n") >= SLIP * F.col("n")).groupBy("word", "key").agg(F.max("top").alias("top"))
+    asked = short.select("spelling", "word", F.explode(F.when(F.size("given") > 0, full).otherwise(initial)).alias("key"))
+    found = asked.join(meant, ["word", "key"]).groupBy("spelling").agg(F.max("top")["word"].alias("meant"))
+    return read.join(found, "spelling", "left").withColumn("word", F.coalesce("meant", "word")).drop("meant")
+
+
 def surname_roots(read: DataFrame) -> DataFrame:
     """``word, root``: each surname word and the weightier word that it is a slip of (itself, if of none).
 
@@ -288,6 +315,7 @@ def linked(names: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["spelling", "word", "given", "initial", "suffix"])
 
     read = checkpoint(names.mapInPandas(parse, "spelling string, word string, given array<string>, initial string, suffix string"))
+    read = checkpoint(mended_surnames(read))
     placed = read.filter("word is not null").join(surname_roots(read), "word")
     # Forms, most specific first: each given name the spelling may mean, or its initial, or nothing.
     key = lambda part: F.concat_ws("|", part, F.col("root"), F.col("suffix"))

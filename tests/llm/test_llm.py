@@ -222,3 +222,16 @@ def test_folding_and_slips():
     assert names.fold("Łukáš") == "lukas" and names.fold("Jo5é") == "jose" and names.fold("Ørsted") == "orsted"
     near = lambda a, b: bool({a, *names.slips(a)} & {b, *names.slips(b)})
     assert near("robert", "robetr") and near("robert", "roert") and near("robert", "roberrt") and near("robert", "rovert") and not near("robert", "bortre")
+
+
+def test_slips_of_short_surnames_need_the_given_name_and_a_far_commoner_word(spark):
+    given = ["John", "Mary", "Anna", "Peter", "Laura", "Simon", "Clara", "Oscar", "Helen", "Bruno"]
+    common = [f"{g} {s}" for s in ("Smith", "Jones", "Brown", "Lane") for g in given]
+    texts = [*common, *(f"{g} Crown" for g in given[:3]), "John Smtih", "Mary Jomes", "Anna Brwn", "Peter Brownn", "J. Smiht", "Zoe Smoth", "Smth"]
+    person = {r["spelling"]: r["person"] for r in names.linked(spark.createDataFrame([(t,) for t in texts], "spelling string")).collect()}
+    for slip, meant in (("John Smtih", "John Smith"), ("Mary Jomes", "Mary Jones"), ("Anna Brwn", "Anna Brown"), ("Peter Brownn", "Peter Brown"), ("J. Smiht", "John Smith")):
+        assert person[slip] == person[meant]
+    # No Zoe Smith is there; Crown isn't rare beside Brown.
+    assert person["Zoe Smoth"] not in {person[t] for t in common}
+    assert person["John Crown"] != person["John Brown"]
+    assert len({person[t] for t in common}) == len(common)
