@@ -18,14 +18,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from manyworlds.plans.runtime import checkpoint
+from manyworlds.plans.runtime import bounded, checkpoint
 
 # Fixed values of this operator: what English speakers call each other, and words around names.
 NICKNAMES = {
@@ -44,9 +44,8 @@ SUFFIXES = {"jr": "jr", "junior": "jr", "sr": "sr", "senior": "sr", "ii": "ii",
 PARTICLES = frozenset("van von der den de di da del della la le al el bin ibn ter ten o mc mac st".split())
 #: Letters that don't decompose into a base letter and marks, and digits that look like letters.
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i", "0": "o", "1": "l", "3": "e", "5": "s"})
-#: A word is a given name of the vocabulary from this many uses on, and from this share of the spellings on; so the
-#: vocabulary has at most as many words as that share has parts.
-LEAST_USES, PARTS = 3, 20_000
+#: A word is a given name of the vocabulary from this many uses on, whatever the size of the data.
+LEAST_USES = 3
 #: A frequent word that is one slip from one used this many times as often is taken for its slip.
 SLIP = 8
 #: Surnames of so many letters, from and to, have too few to tell a slip by its letters alone.
@@ -146,7 +145,17 @@ class Vocabulary:
         return tuple(sorted(f for f, n in full.items() if n * SLIP >= most)), (2 if own else 1) if full else 0
 
 
-def _words(text: str, vocabulary: Vocabulary | None) -> list[tuple[str, bool]]:
+class Known:
+    """The meanings of one spelling's words, as :class:`Vocabulary` gives them; without a table, any word has one."""
+
+    def __init__(self, known: Iterable[dict] | None = None) -> None:
+        self.known = None if known is None else {x["word"]: (tuple(x["means"]), x["sure"]) for x in known}
+
+    def meanings(self, word: str) -> tuple[tuple[str, ...], int]:
+        return ((word,), 2) if self.known is None else self.known.get(word, ((), 0))
+
+
+def _words(text: str, vocabulary: Vocabulary | Known | None) -> list[tuple[str, bool]]:
     """(folded word, whether it is an initial) in order; particles left out, double names split."""
     out = []
     for raw in re.split(r"[\s./]+", text):
@@ -163,7 +172,16 @@ def _words(text: str, vocabulary: Vocabulary | None) -> list[tuple[str, bool]]:
     return out
 
 
-def read_name(text: str, vocabulary: Vocabulary | None = None) -> Reading:
+def asked_words(text: str) -> set[str]:
+    """All words of a spelling whose meanings :func:`read_name` may ask for."""
+    asked = {fold(m[1] or m[2] or m[3] or "") for m in _NOTE.finditer(text)}
+    for segment in _NOTE.sub(" ", text.replace("\xa0", " ")).split(","):
+        for known in (Known(), None):  # with and without a glued mc
+            asked.update(w for w, _ in _words(segment, known))
+    return {w for w in asked if len(w) > 1}
+
+
+def read_name(text: str, vocabulary: Vocabulary | Known | None = None) -> Reading:
     """A spelling taken apart. Without a vocabulary the order of the tokens is taken as it stands."""
     nick = ""
     for m in _NOTE.finditer(text):
@@ -219,11 +237,16 @@ def spellings(*columns: tuple[DataFrame, str]) -> DataFrame:
     return out.distinct()
 
 
-def given_names(names: DataFrame) -> dict[str, int]:
-    """The words used as given names: at least LEAST_USES and a PARTS-th of the spellings, twice as often as surnames.
+def _left_out(word: str) -> Column:
+    """A word and its forms with one letter left out."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), cut))
+
 
-    Each spelling casts one vote for a given name, so at most PARTS words can reach the share: that bounds what the
-    driver gets, whatever the size of the data.
+def given_names(names: DataFrame) -> DataFrame:
+    """``word, uses``: the words used as given names, at least LEAST_USES times and twice as often as surnames.
+
+    The number of uses that a word needs doesn't move with the size of the data, so there may be any number of words.
     """
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,9 +259,37 @@ def given_names(names: DataFrame) -> dict[str, int]:
                     rows.append((r.surname[-1], 0, 1))
             yield pd.DataFrame(rows, columns=["word", "given", "surname"])
 
-    least = max(LEAST_USES, names.count() // PARTS)
     used = names.mapInPandas(votes, "word string, given int, surname int").groupBy("word").agg(F.sum("given").alias("given"), F.sum("surname").alias("surname"))
-    return {r["word"]: r["given"] for r in used.filter((F.col("given") >= least) & (F.col("given") > 2 * F.col("surname"))).collect()}
+    return used.filter((F.col("given") >= LEAST_USES) & (F.col("given") > 2 * F.col("surname"))).select("word", F.col("given").alias("uses"))
+
+
+def with_meanings(names: DataFrame) -> DataFrame:
+    """``spelling, known``: the spellings with those of their words that mean given names, and what they mean.
+
+    The words of the spellings meet the vocabulary in forms with a letter left out; each is judged by the given names
+    one slip away and by those of the fixed list of nicknames, which are all that :class:`Vocabulary` looks at.
+    """
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"spelling": batch["spelling"], "words": [sorted(asked_words(text)) for text in batch["spelling"]]})
+
+    used = checkpoint(given_names(names))
+    fixed = {r["word"]: r["uses"] for r in bounded(used.filter(F.col("word").isin(list(NICKNAMES))), len(NICKNAMES))}
+    asking = checkpoint(names.mapInPandas(asked, "spelling string, words array<string>")).select("spelling", F.explode_outer("words").alias("word"))
+    words = asking.filter("word is not null").select("word").distinct()
+    near = words.select("word", F.explode(_left_out("word")).alias("form")).join(used.select(F.col("word").alias("near"), "uses", F.explode(_left_out("word")).alias("form")), "form")
+    judged = words.join(near.groupBy("word").agg(F.collect_set(F.struct("near", "uses")).alias("near")), "word", "left")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            vocabulary = Vocabulary(fixed | {x["near"]: x["uses"] for near in batch["near"] if near is not None for x in near})
+            rows = [(word, *vocabulary.meanings(word)) for word in batch["word"]]
+            yield pd.DataFrame([(word, list(means), sure) for word, means, sure in rows if sure], columns=["word", "means", "sure"])
+
+    meaning = judged.mapInPandas(judge, "word string, means array<string>, sure int")
+    found = F.when(F.col("sure").isNotNull(), F.struct("word", "means", "sure"))
+    return asking.join(meaning, "word", "left").groupBy("spelling").agg(F.collect_list(found).alias("known"))
 
 
 def mended_surnames(read: DataFrame) -> DataFrame:
@@ -256,8 +307,7 @@ def mended_surnames(read: DataFrame) -> DataFrame:
     initial = F.when(F.col("initial") != "", F.array(F.concat(F.lit("i:"), F.col("initial")))).otherwise(F.array().cast("array<string>"))
     uses = short.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     known = short.select("word", F.explode(F.array_distinct(F.concat(full, first, initial))).alias("key")).distinct().join(uses, "word")
-    left_out = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word"))))
-    spread = checkpoint(known.select("word", "key", "n", F.explode(F.array_distinct(F.concat(F.array("word"), left_out))).alias("form")))
+    spread = checkpoint(known.select("word", "key", "n", F.explode(_left_out("word")).alias("form")))
     best = spread.groupBy("form", "key").agg(F.max(F.struct("n", "word")).alias("top"))
     meant = spread.join(best, ["form", "key"]).filter(F.col("top.n") >= SLIP * F.col("n")).groupBy("word", "key").agg(F.max("top").alias("top"))
     asked = short.select("spelling", "word", F.explode(F.when(F.size("given") > 0, full).otherwise(initial)).alias("key"))
@@ -300,13 +350,12 @@ def linked(names: DataFrame) -> DataFrame:
     very long ones are read like any other. An empty table gives no rows.
     """
     names = checkpoint(names.select("spelling"))
-    vocabulary = names.sparkSession.sparkContext.broadcast(given_names(names))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Vocabulary(vocabulary.value)
         for batch in batches:
             rows = []
-            for text in batch["spelling"]:
+            for text, own in zip(batch["spelling"], batch["known"]):
+                known = Known(own)
                 r = read_name(text, known)
                 given, sure = known.meanings(r.given)
                 if r.given and not sure:
@@ -314,7 +363,7 @@ def linked(names: DataFrame) -> DataFrame:
                 rows.append((text, r.surname[0] if r.surname else None, sorted(given), r.initial if not r.given else "", r.suffix))
             yield pd.DataFrame(rows, columns=["spelling", "word", "given", "initial", "suffix"])
 
-    read = checkpoint(names.mapInPandas(parse, "spelling string, word string, given array<string>, initial string, suffix string"))
+    read = checkpoint(with_meanings(names).mapInPandas(parse, "spelling string, word string, given array<string>, initial string, suffix string"))
     read = checkpoint(mended_surnames(read))
     placed = read.filter("word is not null").join(surname_roots(read), "word")
     # Forms, most specific first: each given name the spelling may mean, or its initial, or nothing.

@@ -235,3 +235,24 @@ def test_slips_of_short_surnames_need_the_given_name_and_a_far_commoner_word(spa
     assert person["Zoe Smoth"] not in {person[t] for t in common}
     assert person["John Crown"] != person["John Brown"]
     assert len({person[t] for t in common}) == len(common)
+
+
+def test_rare_given_names_count_in_large_data_too(spark):
+    many = F.translate(F.substring(F.hex(F.xxhash64("id")), 1, 12), "0123456789ABCDEF", "bcdfghjklmnpqrst")
+    rare = ["Ulfrida Wanutosek", "Ulfrida Pokiduvar", "Ulfrida Fegalonit", "Wanutosek Ulfrida", "Pokiduvar, Ulfirda"]
+    df = spark.range(90_000).select(F.concat(F.lit("Robert "), many).alias("spelling")).union(spark.createDataFrame([(t,) for t in rare], "spelling string"))
+    person = {r["spelling"]: r["person"] for r in names.linked(df.distinct()).filter(F.col("spelling").isin(rare)).collect()}
+    assert person["Wanutosek Ulfrida"] == person["Ulfrida Wanutosek"] and person["Pokiduvar, Ulfirda"] == person["Ulfrida Pokiduvar"]
+
+
+def test_all_words_that_reading_asks_for_are_looked_up():
+    class Asked(names.Vocabulary):
+        def meanings(self, word):
+            asked.add(word)
+            return super().meanings(word)
+
+    vocabulary = Asked({"robert": 9, "mckenna": 5, "zoe": 4})
+    for text in [t for own in PERSONS.values() for t in own] + ["McKenna, Zoe (Bob)", "mckenna zoe", "Mc Tavish McTavish-McKenna R.", 'Dr. Zoë "Mcbob" O\'Neil,Jr.', "a\xa0b, Anne-Marie/Lee #4", ""]:
+        asked: set[str] = set()
+        names.read_name(text, vocabulary)
+        assert {w for w in asked if len(w) > 1} <= names.asked_words(text)
