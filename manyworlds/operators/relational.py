@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manyworlds.plans.runtime import checkpoint
@@ -15,6 +15,19 @@ def nulls_last(*columns: str) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in columns]
 
 
+def placed(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """All rows in an order, each with its place in it, from 1 on.
+
+    The rows are range-sorted and kept; a row's place is the number of rows in the partitions before its own and its
+    place there. Only the partitions' counts are summed in one task. Rows that tie in the order are placed as they come.
+    """
+    part, before = "_part", "_before"
+    kept = checkpoint(df.orderBy(*order)).select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias(name))
+    counts = kept.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(part, F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    return kept.join(F.broadcast(starts), part).select(*df.columns, (F.col(before) + F.col(name) + 1).alias(name))
+
+
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], descending: bool = False) -> DataFrame:
     """One row per key: the first in the order of some columns (the last, if `descending`).
 

@@ -84,6 +84,12 @@ def order_nulls_last(spark: SparkSession, root: str) -> DataFrame:
     return rows.orderBy(*R.nulls_last("points", "perf_id")).limit(25)
 
 
+def order_nulls_last_places(spark: SparkSession, root: str) -> DataFrame:
+    """All rows in that order, each with its place; the null points have the last ones."""
+    rows = table(spark, root, "performance").select("perf_id", "points")
+    return R.placed(rows, *R.nulls_last("points", "perf_id"))
+
+
 def crosstab_pivot(spark: SparkSession, root: str) -> DataFrame:
     counts = table(spark, root, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
     return R.crosstab(counts, "l_returnflag", "l_linestatus", "n", ["F", "O"])
@@ -233,7 +239,7 @@ def table_function(spark: SparkSession, root: str) -> DataFrame:
     return spark.sql("select r_regionkey, l.letter, l.n from region, lateral mw_letters(r_name) l")
 
 
-_OWN = (encoding_functions, format_functions, regex_functions, sql_function, python_aggregate, table_function, distinct_on_latest_order, order_nulls_last, crosstab_pivot, connect_by_tree, generate_series_step, values_list, upsert_rows, prepared_statement, regex_similar, quoting_functions, fuzzy_matching, date_parts, number_functions, array_functions, map_functions, text_search, delimited_text, array_aggregate, xml_functions, network_functions, geo_functions, tree_labels)
+_OWN = (encoding_functions, format_functions, regex_functions, sql_function, python_aggregate, table_function, distinct_on_latest_order, order_nulls_last, order_nulls_last_places, crosstab_pivot, connect_by_tree, generate_series_step, values_list, upsert_rows, prepared_statement, regex_similar, quoting_functions, fuzzy_matching, date_parts, number_functions, array_functions, map_functions, text_search, delimited_text, array_aggregate, xml_functions, network_functions, geo_functions, tree_labels)
 QUERIES = {name: _spark_sql(text) for name, text in SAME.items()} | {f.__name__: f for f in _OWN}
 
 _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, cast(length(w) + 2 as bigint)), lambda i: substring('  ' || w || ' ', i, 3)))))"
@@ -242,6 +248,7 @@ _A, _B = _TRIGRAMS.format("x.n_name"), _TRIGRAMS.format("y.n_name")
 SQL = dict(SAME) | {
     "distinct_on_latest_order": "select distinct on (o_custkey) o_custkey, o_orderkey, o_totalprice from orders order by o_custkey, o_orderdate desc, o_orderkey desc",
     "order_nulls_last": "select perf_id, points from performance order by points nulls last, perf_id limit 25",
+    "order_nulls_last_places": "select perf_id, points, row_number() over (order by points nulls last, perf_id) as place from performance",
     "crosstab_pivot": "select l_returnflag, nullif(count(*) filter (l_linestatus = 'F'), 0) as \"F\", nullif(count(*) filter (l_linestatus = 'O'), 0) as \"O\" from lineitem group by 1",
     "connect_by_tree": "with recursive t as (select cast(1 as bigint) as node, cast(null as bigint) as parent, 0 as level, '1' as branch union all select c, node, level + 1, branch || '~' || c from t join (select range // 2 as p, range as c from range(2, 41)) e on p = node) select * from t",
     "generate_series_step": "select generate_series as n from generate_series(10, -10, -3)",

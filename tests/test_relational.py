@@ -51,6 +51,16 @@ def test_numbers_dates_collections(spark):
     assert one(spark, S.xml_element("e", L("a<b"), k=L(1))) == '<e k="1">a&lt;b</e>' and one(spark, S.enum_range(["x", "y"], L("y"))) == 2
 
 
+def test_order_nulls_last_places_every_row(spark, tmp_path):
+    points = [None if i % 7 == 0 else i % 5 for i in range(60)]
+    spark.createDataFrame(list(enumerate(points)), "perf_id int, points int").repartition(5).write.parquet(str(tmp_path / "performance.parquet"))
+    want = sorted(enumerate(points), key=lambda x: (x[1] is None, x[1] or 0, x[0]))
+    got = [tuple(r) for r in entry.queries()["order_nulls_last_places"](spark, str(tmp_path)).collect()]
+    assert got == [(*x, i) for i, x in enumerate(want, 1)]
+    empty = spark.createDataFrame([], "v int")
+    assert R.placed(empty, *R.nulls_last("v")).count() == 0
+
+
 def test_relational(spark):
     df = spark.createDataFrame([(1, 3, "a"), (1, 5, "b"), (2, None, "c"), (2, 1, "d")], "k int, v int, t string")
     assert rows(R.distinct_on(df, ["k"], ["v"])) == [(1, 3, "a"), (2, None, "c")] and rows(R.distinct_on(df, ["k"], ["v"], descending=True)) == [(1, 5, "b"), (2, 1, "d")]
