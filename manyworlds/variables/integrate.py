@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from manyworlds.plans.runtime import checkpoint
 from manyworlds.variables.distributions import DISTRIBUTIONS, draws, generator
 from manyworlds.variables.symbols import ATOMS, EQN, _node, such_that
 
@@ -303,16 +304,97 @@ def conf_naive(df: DataFrame, by: Sequence[str] = (), samples: int = SAMPLES, se
     return worlds.groupBy(*by).agg(share) if by else worlds.agg(share)
 
 
+def _clause_mass(atoms, seed: int, n: int) -> float:
+    """The probability of a row's constraints, by as many tries as it takes where they are sampled."""
+    parts, free = groups(atoms)
+    if not free:
+        return 0.0
+    # What is exactly impossible needs no tries for the rest.
+    chances = [g.probability(seed, n) for g in parts if g.bounds is not None]
+    if 0.0 in chances:
+        return 0.0
+    for g in parts:
+        if g.bounds is None:
+            p = g.inside(seed, n)[1]
+            if p <= 0:
+                raise ArithmeticError(f"no sample satisfies a row's constraints in {TRIES} tries")
+            chances.append(p)
+    return math.prod(chances)
+
+
+def _values_inside(atoms, seed: int, n: int) -> dict[Var, np.ndarray]:
+    """The values of a row's variables in `n` worlds in which its constraints hold."""
+    values: dict[Var, np.ndarray] = {}
+    for g in groups(atoms)[0]:
+        inside, p = g.inside(seed, n)
+        if p <= 0:
+            raise ArithmeticError(f"no sample satisfies a row's constraints in {TRIES} tries")
+        values |= inside
+    return values
+
+
 def conf_sample(df: DataFrame, by: Sequence[str] = (), samples: int = SAMPLES, seed: int = 0, name: str = "conf") -> DataFrame:
-    """Confidence by counting coverage: the sum over rows of P(row) times the mean, over the worlds with the row, of one
-    over the number of the group's rows in that world. Rows of equal constraints are one event; rows found in no sampled
-    world add nothing."""
-    events = df.select(*by, ATOMS, F.xxhash64(F.to_json(ATOMS)).alias("_id")).dropDuplicates([*by, "_id"])
-    spread = events.select(*by, "_id", conf_one(ATOMS, samples, seed).alias("_p"), F.posexplode(row_worlds(F.lit(None).cast(EQN), ATOMS, samples, seed)).alias("world", "v")).filter("v is not null")
-    tally = spread.groupBy(*by, "world").agg(F.count(F.lit(1)).alias("_n"))
-    both = spread.join(tally, [*by, "world"])
-    rows = both.groupBy(*by, "_id").agg((F.first("_p") * F.avg(1 / F.col("_n"))).alias("_part"))
-    return rows.groupBy(*by).agg(F.sum("_part").alias(name)) if by else rows.agg(F.coalesce(F.sum("_part"), F.lit(0.0)).alias(name))
+    """Confidence by counting coverage: the sum over rows of P(row) times the mean, over worlds with the row, of one over
+    the number of the group's rows in that world. Rows of equal constraints are one event.
+
+    Every row adds its probability, however small. A group has `samples` worlds, dealt to its rows in proportion to
+    their probabilities; a row's worlds are conditioned on its own constraints, so it is in each, and all others are
+    counted there. Constraints that are sampled and that no try satisfies are an error, as they would add nothing.
+    """
+
+    @F.pandas_udf("double")
+    def mass(a: pd.Series) -> pd.Series:
+        return a.map(lambda x: _clause_mass(x, seed, samples))
+
+    @F.pandas_udf("array<struct<id:bigint,sub:bigint,world:int,value:double>>")
+    def forced(a: pd.Series, first: pd.Series, end: pd.Series) -> pd.Series:
+        out = []
+        for x, i, k in zip(a, first, end):
+            values = _values_inside(x, seed, samples)
+            out.append([{"id": v[0], "sub": v[1], "world": w, "value": float(got[w])} for v, got in values.items() for w in range(i, k)])
+        return pd.Series(out)
+
+    @F.pandas_udf("array<struct<id:bigint,sub:bigint>>")
+    def named(a: pd.Series) -> pd.Series:
+        return pd.Series([[{"id": v[0], "sub": v[1]} for v in {v for c in x if c is not None for e in (c["l"], c["r"]) if e is not None for v in variables(e)}] for x in a])
+
+    @F.pandas_udf("array<int>")
+    def there(a: pd.Series, changes: pd.Series) -> pd.Series:
+        out = []
+        for x, changed in zip(a, changes):
+            atoms = [c for c in x if c is not None and c["l"] is not None and c["r"] is not None]
+            kinds = {v: k for c in atoms for e in (c["l"], c["r"]) for v, k in variables(e).items()}
+            values = {v: draws(dist, p, seed, v[0], samples, v[1]) for v, (dist, p) in kinds.items()}
+            for c in changed if changed is not None else ():
+                values[c["id"], c["sub"]][c["world"]] = c["value"]
+            good = np.ones(samples, bool)
+            for c in atoms:
+                good &= np.asarray(evaluate(c["l"], values.__getitem__)) > np.asarray(evaluate(c["r"], values.__getitem__))
+            out.append(np.flatnonzero(good).tolist())
+        return pd.Series(out)
+
+    # Groups by number, as group keys may be null.
+    keys = F.xxhash64(F.to_json(F.struct(*by), {"ignoreNullFields": "false"})) if by else F.lit(0).cast("bigint")
+    atoms = F.coalesce(F.col(ATOMS), F.array().cast(df.schema[ATOMS].dataType))
+    events = df.select(*by, atoms.alias(ATOMS)).withColumn("_id", F.xxhash64(F.to_json(ATOMS))).withColumn("_group", keys).dropDuplicates(["_group", "_id"])
+    events = checkpoint(events.withColumn("_p", mass(ATOMS)))
+    within = Window.partitionBy("_group")
+    upto = F.sum("_p").over(within.orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    dealt = events.filter("_p > 0").withColumn("_upto", upto).withColumn("_all", F.max("_upto").over(within))
+    # World w goes to the row that holds the point (w + 1/2) / samples of the group's mass.
+    dealt = dealt.withColumn("_end", F.floor(F.col("_upto") / F.col("_all") * samples + 0.5).cast("int"))
+    dealt = dealt.withColumn("_first", F.coalesce(F.lag("_end").over(within.orderBy("_id")), F.lit(0))).filter("_end > _first")
+    changes = dealt.select("_group", F.explode(forced(ATOMS, "_first", "_end")).alias("c")).select("_group", "c.*")
+    uses = events.select("_group", "_id", F.explode(named(ATOMS)).alias("v")).select("_group", "_id", "v.*")
+    own = uses.join(changes, ["_group", "id", "sub"]).groupBy("_group", "_id").agg(F.collect_list(F.struct("id", "sub", "world", "value")).alias("_changes"))
+    present = events.filter("_p > 0").join(own, ["_group", "_id"], "left").select("_group", F.explode(there(ATOMS, "_changes")).alias("world"))
+    tally = present.groupBy("_group", "world").agg(F.count(F.lit(1)).alias("_n"))
+    # A row is in its own worlds, also where rounding at the end of an interval says otherwise.
+    worlds = dealt.select("_group", F.explode(F.sequence("_first", F.col("_end") - 1)).alias("world"))
+    share = worlds.join(tally, ["_group", "world"], "left").groupBy("_group").agg(F.avg(1 / F.greatest(F.coalesce("_n", F.lit(1)), F.lit(1))).alias("_share"))
+    total = events.groupBy("_group", *by).agg(F.sum("_p").alias("_mass")).join(share, "_group", "left")
+    conf = F.least(F.lit(1.0), F.col("_mass") * F.coalesce("_share", F.lit(0.0))).alias(name)
+    return total.select(*by, conf) if by else total.agg(F.coalesce(F.max(conf), F.lit(0.0)).alias(name))
 
 
 def max_of_constants(df: DataFrame, value: str, chance: str | Column, by: Sequence[str] = (), name: str = "expected_max") -> DataFrame:

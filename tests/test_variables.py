@@ -58,6 +58,21 @@ def test_world_aggregates(table):
     assert I.conf_sample(some.union(some), samples=4000).first()[0] == pytest.approx(1 - 0.5**3, abs=0.03)
 
 
+def test_coverage_counts_rare_rows_and_shared_variables(spark):
+    df = spark.createDataFrame([(g, i) for g in ("a", None) for i in range(2000)], "g string, i int")
+    rare = CTable(df.withColumn("u", rv("uniform", 0, 1, key=["g", "i"], salt="rare"))).where(lt(F.col("u"), 1e-4)).df
+    got = {r["g"]: r["conf"] for r in I.conf_sample(rare, ["g"]).collect()}
+    assert got == {g: pytest.approx(1 - (1 - 1e-4) ** 2000, rel=0.05) for g in ("a", None)}
+    # One variable for all rows: the widest interval holds the others.
+    one = CTable(spark.range(1, 6).withColumn("u", rv("uniform", 0, 1, salt="one"))).where(lt(F.col("u"), const(F.col("id") * 0.001))).df
+    assert I.conf_sample(one, samples=4000).first()[0] == pytest.approx(0.005, rel=0.1)
+    # Two variables are sampled, one of them shared by all rows.
+    two = CTable(spark.range(3).withColumn("u", rv("uniform", 0, 1, salt="shared")).withColumn("v", rv("uniform", 0, 20, key=["id"], salt="own"))).where(gt(F.col("u"), F.col("v"))).df
+    assert I.conf_sample(two, samples=4000).first()[0] == pytest.approx(1 - 5 * (1 - 0.95**4), rel=0.1)
+    never = CTable(spark.range(2).withColumn("u", rv("uniform", 0, 1, key=["id"], salt="never"))).where(gt(F.col("u"), 2)).df
+    assert I.conf_sample(never).first()[0] == 0 and I.conf_sample(never.limit(0)).first()[0] == 0
+
+
 def test_max_of_constants(spark):
     df = spark.createDataFrame([(5.0, 0.5), (3.0, 0.5), (3.0, 0.5), (1.0, 1.0)], "v double, p double")
     assert I.max_of_constants(df, "v", "p").first()[0] == pytest.approx(5 * 0.5 + 3 * 0.5 * 0.75 + 1 * 0.5 * 0.25)
