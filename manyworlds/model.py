@@ -375,3 +375,18 @@ def posterior(prior: UTable, violations: UTable, *by: str, name: str = "posterio
         raise ValueError("the evidence is impossible")
     joined = before.join(both, reduce(lambda a, b: a & b, [before[k].eqNullSafe(both[k]) for k in by]), "left") if by else before.crossJoin(both)
     return joined.select(*(before[k] for k in by), ((F.col("_prior") - F.coalesce("_both", F.lit(0.0))) / (1 - F.lit(float(against)))).alias(name))
+
+
+def posterior_within(prior: UTable, violations: UTable, within: Sequence[str], *by: str, name: str = "posterior") -> DataFrame:
+    """:func:`posterior` for each value of the columns `within` by itself, given that no row of `violations` of that value
+    exists. Values whose evidence is impossible have null."""
+    seen = UTable(violations.df.select(*(F.col(k).alias(f"_seen_{k}") for k in within), COND), UNCERTAIN, violations.width)
+    met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in within])
+    keys = [*within, *by]
+    before = prior.conf(*keys, name="_prior")
+    both = prior.join(seen, met).conf(*keys, name="_both")
+    against = seen.conf(*(f"_seen_{k}" for k in within), name="_against")
+    joined = before.join(both, reduce(lambda a, b: a & b, [before[k].eqNullSafe(both[k]) for k in keys]), "left").select(*(before[k] for k in keys), "_prior", "_both")
+    none = F.lit(0.0)
+    rest = 1 - F.coalesce("_against", none)
+    return joined.join(against, met, "left").select(*keys, F.when(rest > 1e-12, (F.col("_prior") - F.coalesce("_both", none)) / rest).alias(name))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyworlds.model import UTable, argmax, posterior
+from manyworlds.model import UTable, argmax, posterior, posterior_within
 from manyworlds.operators.construct import pick_tuples, repair_key
 from manyworlds.plans.safe import safe_conf
 from manyworlds.plans.sql import Worlds
@@ -272,6 +272,17 @@ def posterior_by_segment(spark: SparkSession, root: str) -> DataFrame:
     return posterior(chosen, chosen.where("c_mktsegment = 'BUILDING'"), "c_mktsegment", name="p").select("c_mktsegment", r6("p", "p"))
 
 
+@query("""with n as (select c_nationkey, c_mktsegment, count(*) as n from customer group by 1, 2), w as (select *, n / sum(n) over (partition by c_nationkey) as p from n),
+  b as (select c_nationkey, p as b from w where c_mktsegment = 'BUILDING')
+  select c_nationkey, c_mktsegment, round(case when coalesce(b, 0) > 1 - 1e-12 then null when c_mktsegment = 'BUILDING' then 0 else p / (1 - coalesce(b, 0)) end, 6) as p from w left join b using (c_nationkey)""")
+def posterior_by_nation_segment(spark: SparkSession, root: str) -> DataFrame:
+    """A customer of each nation, given that its segment isn't building."""
+    counts = table(spark, root, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    chosen = repair_key(counts, ["c_nationkey"], "n", distinct=True)
+    out = posterior_within(chosen, chosen.where("c_mktsegment = 'BUILDING'"), ["c_nationkey"], "c_mktsegment", name="p")
+    return out.select("c_nationkey", "c_mktsegment", r6("p", "p"))
+
+
 @query("select c_mktsegment, round(max(p), 6) as p, round(sum(x), 4) as s from (select c_mktsegment, sum(p) as p, sum(p * c_acctbal) as x from (select *, 1.0 / count(*) over () as p from customer) group by 1) group by 1")
 def sql_repair_key_conf(spark: SparkSession, root: str) -> DataFrame:
     """The SQL front end: one customer of all."""

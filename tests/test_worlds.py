@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from manyworlds.functions import confidence
 from manyworlds.functions.conditions import COND, tconf
-from manyworlds.model import NotSupported, UTable, argmax, posterior
+from manyworlds.model import NotSupported, UTable, argmax, posterior, posterior_within
 from manyworlds.operators.construct import pick_tuples, repair_key
 
 
@@ -215,3 +215,11 @@ def test_tconf_of_any_condition(spark):
 def test_argmax(spark):
     df = spark.createDataFrame([(1, "x", -3.0), (1, "y", -1.0), (2, "z", float("nan")), (2, "u", 5.0), (2, None, None)], "a int, b string, c double")
     assert rows(argmax(df, "b", "c", "a")) == [(1, "y"), (2, "z")]
+
+
+def test_posterior_of_each_nation(spark):
+    counts = spark.createDataFrame([(0, "BUILDING", 1), (0, "AUTO", 3), (1, "BUILDING", 6), (1, "AUTO", 1), (1, "FOOD", 3), (2, "FOOD", 4), (3, "BUILDING", 2), (None, "BUILDING", 1), (None, "FOOD", 1)], "nation int, segment string, n int")
+    chosen = repair_key(counts, ["nation"], "n")
+    got = [(r[0], r[1], r[2] if r[2] is None else round(r[2], 6)) for r in posterior_within(chosen, chosen.where("segment = 'BUILDING'"), ["nation"], "segment").collect()]
+    want = [(0, "BUILDING", 0.0), (0, "AUTO", 1.0), (1, "BUILDING", 0.0), (1, "AUTO", 0.25), (1, "FOOD", 0.75), (2, "FOOD", 1.0), (3, "BUILDING", None), (None, "BUILDING", 0.0), (None, "FOOD", 1.0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
