@@ -336,10 +336,13 @@ def surname_roots(read: DataFrame) -> DataFrame:
     best = weighed.groupBy("form").agg(F.max("self").alias("top"))
     parent = weighed.join(best, "form").groupBy(F.col("self.word").alias("word")).agg(F.max("top").alias("top"), F.max("self").alias("own"))
     roots = checkpoint(words.select("word").join(parent.select("word", F.when(F.col("top") > F.col("own"), F.col("top.word")).alias("up")), "word", "left").select("word", F.coalesce("up", "word").alias("root")))
-    for _ in range(2):  # up to four slips in a row
+    # Each round doubles the hops followed; weights grow at every hop, so there are no circles.
+    while True:
         up = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        roots = roots.join(up, "root", "left").select("word", F.coalesce("next", "root").alias("root"))
-    return checkpoint(roots)
+        moved = checkpoint(roots.join(up, "root", "left").select("word", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        roots = moved.select("word", "root")
+        if moved.filter("moved").isEmpty():
+            return roots
 
 
 def linked(names: DataFrame) -> DataFrame:

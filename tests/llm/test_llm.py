@@ -256,3 +256,10 @@ def test_all_words_that_reading_asks_for_are_looked_up():
         asked: set[str] = set()
         names.read_name(text, vocabulary)
         assert {w for w in asked if len(w) > 1} <= names.asked_words(text)
+
+
+def test_roots_of_roots_are_followed_to_the_end(spark):
+    chain = ["abcdefghijkl"[:i] + "mnopqrstuvwx"[i:] for i in range(12)]  # each one letter from the next
+    uses = [(w,) for i, w in enumerate(chain) for _ in range(1 + 3 * i)]
+    roots = names.surname_roots(spark.createDataFrame(uses, "word string"))
+    assert {(r["word"], r["root"]) for r in roots.collect()} == {(w, chain[-1]) for w in chain}
