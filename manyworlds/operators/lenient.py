@@ -9,7 +9,8 @@ given-up values. Rows of cost 0 load; the edit operations are the reason.
 
 The dynamic programme runs over (position, state, fields so far) in one pass over the line with a constant number of
 states, then over the pieces between delimiters for the columns; only lines that the strict grammar can't read at no
-cost go through it.
+cost go through it. Lines without quotes whose fields all fit, nearly all of a sound file, are of cost 0 by columns alone
+and never meet Python.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ START, BARE, QUOTED, CLOSED = range(4)
 
 @dataclass(frozen=True)
 class Layout:
-    """The fields of a kind of line: their names and the check of each value (None: any text)."""
+    """The fields of a kind of line: their names and the check of each value (None: any text). No checked value holds a
+    delimiter. `columns` are the same checks as columns, where there are some: they may refuse more, never less."""
 
     names: tuple[str, ...]
     checks: tuple[Callable[[str], bool] | None, ...]
     sep: str = "|"
     quote: str = '"'
     required: frozenset[str] = frozenset()
+    columns: tuple[Callable[[Column], Column] | None, ...] | None = None
 
 
 @dataclass
@@ -155,27 +158,33 @@ def mended_quotes(line: str, sep: str, quote: str) -> tuple[list[str], list[str]
 def fitted(pieces: list[str], layout: Layout) -> tuple[list[str | None], list[str]]:
     """The pieces as the layout's fields with the fewest delimiter edits, and these edits.
 
-    Too many pieces: dynamic programming over which field holds the excess delimiters (they are deleted there). Too few:
-    over which fields are missing (a delimiter inserted). Among equals the one whose values fit their types best wins.
+    Too many pieces: dynamic programming over which fields hold the excess delimiters (they are deleted there). Too few:
+    over which fields are missing (a delimiter inserted). Among equals the one whose values fit their types best wins,
+    then the one that spreads the excess over the fewest fields, the last ones.
     """
     k, n = len(layout.names), len(pieces)
     if n == k:
         return list(pieces), []
     fits = [c or (lambda v: True) for c in layout.checks]
     if n > k:
-        # best[j]: (misfits, spans so far) with j pieces used; a field takes one piece, or one and the whole excess.
-        best: dict[int, tuple[int, tuple]] = {0: (0, ())}
+        # best[j]: (misfits, fields with excess, link) with j pieces used. A field takes any number of pieces; a checked
+        # one holds no delimiter, so with more than one it is a misfit, and what came before j matters by its cost alone.
+        best: list[tuple[int, int, tuple | None]] = [(0, 0, None)] + [(1 << 60, 0, None)] * n
         for f in range(k):
-            after: dict[int, tuple[int, tuple]] = {}
-            for j, (bad, spans) in best.items():
-                last = n - (k - 1 - f)
-                for e in sorted({j + 1, last}) if f < k - 1 else (n,):
-                    if e <= last:
-                        miss = bad + (not fits[f](layout.sep.join(pieces[j:e]).strip(" ")))
-                        if e not in after or miss < after[e][0]:
-                            after[e] = (miss, (*spans, (j, e)))
+            after: list[tuple[int, int, tuple | None]] = [(1 << 60, 0, None)] * (n + 1)
+            wide, start = (1 << 60, 0, None), 0  # the cheapest way to a start two pieces or more before
+            for e in range(f + 1, n - (k - 1 - f) + 1):
+                if e > 1 and best[e - 2][:2] < wide[:2]:
+                    wide, start = best[e - 2], e - 2
+                one, joined = best[e - 1], (wide[0] + (layout.checks[f] is not None), wide[1] + 1)
+                one_cost = (one[0] + (one[0] < 1 << 60 and not fits[f](pieces[e - 1].strip(" "))), one[1])
+                after[e] = (*one_cost, (one[2], e - 1, e)) if one_cost < joined else (*joined, (wide[2], start, e))
             best = after
-        spans = best[n][1]
+        spans, at = [], best[n][2]
+        while at is not None:
+            spans.append(at[1:])
+            at = at[0]
+        spans.reverse()
         return [layout.sep.join(pieces[a:b]) for a, b in spans], [f"delete {layout.sep} after piece {i + 1}" for a, b in spans for i in range(a, b - 1)]
     row: dict[int, tuple[int, tuple]] = {0: (0, ())}
     for f in range(k):
@@ -249,6 +258,18 @@ def matchup(codes: Sequence[str]) -> Callable[[str], bool]:
     return lambda text: known is not None and known.fullmatch(text) is not None
 
 
+def sound_line(raw: Column, layout: Layout) -> tuple[Column, Column]:
+    """Whether columns alone find that a line is good, and its fields."""
+    line = F.regexp_replace(raw, r"\r\z", "")
+    fields = F.split(line, r"\Q" + layout.sep + r"\E", -1)
+    good = ~F.contains(line, F.lit(layout.quote)) & (F.size(fields) == len(layout.names))
+    for i, (name, check) in enumerate(zip(layout.names, layout.columns or ())):
+        text = F.trim(F.get(fields, F.lit(i)))
+        fits = F.lit(True) if check is None else check(text)
+        good &= F.when(text == "", F.lit(name not in layout.required)).otherwise(fits)
+    return F.coalesce(good, F.lit(False)) if layout.columns else F.lit(False), fields
+
+
 def load_lines(lines: DataFrame, row_id: str, kind: str, raw: str, layouts: dict[str, Layout]) -> DataFrame:
     """Each line's minimum-cost reading: ``row_id``, ``kind``, ``fields`` (an array in the layout's order), ``reason``
     (null: the row is good) and ``edits``.
@@ -257,6 +278,10 @@ def load_lines(lines: DataFrame, row_id: str, kind: str, raw: str, layouts: dict
     columns: ``columns``. A null line is ``columns``, an empty one is a single empty field. Texts of any length are read
     whole, in time proportional to it. Repeated lines are read each; other columns aren't read.
     """
+    good, fields = F.lit(False), F.lit(None).cast("array<string>")
+    for name, layout in layouts.items():
+        sound, split = sound_line(F.col("raw"), layout)
+        good, fields = F.when(F.col("kind") == name, sound).otherwise(good), F.when(F.col("kind") == name, split).otherwise(fields)
     cut = lines.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(kind).alias("kind"), F.col(raw).alias("raw"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,7 +295,19 @@ def load_lines(lines: DataFrame, row_id: str, kind: str, raw: str, layouts: dict
                 out.append((ident, which, p.fields, p.reason, p.edits))
             yield pd.DataFrame(out, columns=["row_id", "kind", "fields", "reason", "edits"])
 
-    return cut.mapInPandas(read, "row_id bigint, kind string, fields array<string>, reason string, edits array<string>")
+    rest = cut.filter(~F.coalesce(good, F.lit(False))).mapInPandas(read, "row_id bigint, kind string, fields array<string>, reason string, edits array<string>")
+    return cut.filter(good).select("row_id", "kind", fields.alias("fields"), F.lit(None).cast("string").alias("reason"), F.array().cast("array<string>").alias("edits")).unionByName(rest)
+
+
+def iso_date_column(value: Column) -> Column:
+    """The date of a text of :func:`iso_date`'s form, null if it isn't one."""
+    text = F.trim(value)
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & ~text.startswith("0000"), text.try_cast("date"))
+
+
+def count_up_to_column(most: int) -> Callable[[Column], Column]:
+    """:func:`count_up_to` of up to nine digits as a column."""
+    return lambda value: F.when(F.trim(value).rlike(r"^[0-9]{1,9}\z"), F.trim(value).try_cast("int") <= most).otherwise(F.lit(False))
 
 
 def birth_date_column(value: Column) -> Column:

@@ -1,16 +1,16 @@
 """References to records that don't exist, or don't exist yet or any more, at the time of the reference.
 
 Keys are partitioned into ranges of their 64-bit hash. The parents of one range are kept as sorted arrays: the keys, the
-composite of key number and rank of the start, and the running maximum of the ends. References come in Arrow batches
-and are probed by vectorised binary search; a hit's key is compared as a string too, so a hash collision can't hide an
-orphan. While all parents fit a checked bound they form one range that is broadcast and the references aren't moved at
-all. Beyond it, both sides are co-grouped by range; ranges with many references are split into slices and their
-parents, at most `range_rows` of them, repeated for each slice, so a hot key is spread over tasks.
+composite of key number and rank of the start, and the running maximum of the ends. References are brought to their
+range as Arrow tables and probed by vectorised binary search; a hit's key is compared as a string too, so a hash
+collision can't hide an orphan. A range with many references is split into slices and its parents, some `range_rows`
+of them, repeated for each slice, so a hot reference key is spread over tasks. A parent key with more spans than a range
+holds is a range of its own that is split by time; what still covers the start of a piece is carried into it as one span.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +22,22 @@ from manyworlds.plans.runtime import checkpoint, pieces
 
 #: An open end, in microseconds.
 FOREVER = np.iinfo(np.int64).max
-#: Parents of one range: what a task holds as sorted arrays, and what may be broadcast.
-RANGE_ROWS = 400_000
-#: References of one co-group.
-SLICE_ROWS = 1_000_000
+#: Parents of one range: what a task holds as sorted arrays.
+RANGE_ROWS = 25_000
+#: References of one slice of a range.
+SLICE_ROWS = 200_000
+#: Ranges whose sizes, one small row each, may be broadcast.
+SIZE_ROWS = 200_000
 
 
-def micros(when: Column) -> Column:
-    """Microseconds since 1970 of a timestamp with or without zone."""
-    return F.unix_micros(when.cast("timestamp"))
+def micros(column: pa.ChunkedArray, missing: int) -> np.ndarray:
+    """Microseconds since 1970 of timestamps; zone-less ones are taken as they stand, whatever the session's zone."""
+    return pc.fill_null(one_array(column).cast(pa.timestamp("us", column.type.tz)).cast(pa.int64()), missing).to_numpy(zero_copy_only=False)
+
+
+def month(when: Column) -> Column:
+    """yyyy-MM of a timestamp, by date arithmetic alone."""
+    return F.when(when.isNotNull(), F.concat_ws("-", F.lpad(F.year(when).cast("string"), 4, "0"), F.lpad(F.month(when).cast("string"), 2, "0")))
 
 
 class SortedParents:
@@ -77,71 +84,67 @@ def one_array(column: pa.ChunkedArray) -> pa.Array:
 
 
 def missing_references(
-    references: Sequence[tuple[str, DataFrame, str, str, str]], parents: DataFrame, key: str, since: str, until: str, *, broadcast_rows: int = RANGE_ROWS, range_rows: int = RANGE_ROWS, slice_rows: int = SLICE_ROWS
+    references: Sequence[tuple[str, DataFrame, str, str, str]], parents: DataFrame, key: str, since: str, until: str, *, range_rows: int = RANGE_ROWS, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """(src_table, period, row_id) of each reference without a live parent.
 
     `references` are (name, table, id column, key column, time column). A parent is live from `since` (inclusive) to
     `until` (exclusive, null: for ever) under the trimmed `key`; a reference's key is trimmed too. References with a
     null key refer to nothing and are passed over; an empty key is a key. A reference whose time is null can't be placed
-    in any parent's life: it is an orphan, with a null period.
+    in any parent's life: it is an orphan, with a null period. Times without zone are compared as they stand; only where
+    a table has times with a zone do those without go through the session's.
     Parents with a null key or null `since` are never live. No parents: all references are orphans. Repeated rows are
     judged one by one. Other columns aren't read.
     """
+    zoned = any(dict(df.dtypes)[c] == "timestamp" for df, c in [(parents, since), (parents, until), *((df, at) for _, df, _, _, at in references)])
+    when = lambda c: F.col(c).cast("timestamp" if zoned else "timestamp_ntz")
     # A parent's spans are merged by start first, on the map side: a key registered very often shrinks before it moves.
     spans = (
         parents.filter(F.col(key).isNotNull() & F.col(since).isNotNull())
-        .select(F.trim(F.col(key)).alias("k"), micros(F.col(since)).alias("s"), F.coalesce(micros(F.col(until)), F.lit(int(FOREVER))).alias("e"))
+        .select(F.trim(F.col(key)).alias("k"), when(since).alias("s"), when(until).alias("e"))
         .groupBy("k", "s")
-        .agg(F.max("e").alias("e"))
+        .agg(F.when(~F.bool_or(F.col("e").isNull()), F.max("e")).alias("e"))
         .select("k", F.xxhash64("k").alias("h"), "s", "e")
     )
     probes = None
-    for name, df, row_id, ref_key, at in references:
-        one = df.filter(F.col(ref_key).isNotNull()).select(
-            F.lit(name).alias("src"),
-            F.date_format(F.col(at), "yyyy-MM").alias("period"),
-            F.col(row_id).cast("bigint").alias("id"),
-            F.trim(F.col(ref_key)).alias("k"),
-            F.coalesce(micros(F.col(at)), F.lit(-int(FOREVER))).alias("t"),
-        )
+    for n, (_, df, row_id, ref_key, at) in enumerate(references):
+        one = df.filter(F.col(ref_key).isNotNull()).select(F.lit(n).cast("tinyint").alias("src"), F.col(row_id).cast("bigint").alias("id"), F.trim(F.col(ref_key)).alias("k"), when(at).alias("t"))
         probes = one if probes is None else probes.unionByName(one)
     probes = probes.withColumn("h", F.xxhash64("k"))
-    out = "src_table string, period string, row_id bigint"
-
-    def orphans(held: SortedParents, batch: pa.RecordBatch | pa.Table) -> pa.Table:
-        t = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
-        lost = pa.array(~held.covers(one_array(t.column("k")), t.column("h").to_numpy(), t.column("t").to_numpy())) if len(t) else pa.array([], pa.bool_())
-        return t.filter(lost).select(["src", "period", "id"]).rename_columns(["src_table", "period", "row_id"])
-
-    def held_of(t: pa.Table) -> SortedParents:
-        return SortedParents(one_array(t.column("k")), t.column("h").to_numpy(), t.column("s").to_numpy(), t.column("e").to_numpy())
 
     spans = checkpoint(spans)  # counted, then read
     size = spans.count()
-    if size <= broadcast_rows:
-        held = references[0][1].sparkSession.sparkContext.broadcast(spans.toArrow())
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sorted_parents = held_of(held.value)
-            for batch in batches:
-                yield from orphans(sorted_parents, batch).to_batches()
-
-        return probes.mapInArrow(probe, out)
-
-    ranges = pieces(size, range_rows // 2)
-    part = F.floor((F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * ranges).cast("int")
-    part = F.least(F.greatest(part, F.lit(0)), F.lit(ranges - 1))
-    probes, spans = probes.withColumn("part", part), spans.withColumn("part", part)
+    ranges = pieces(size, range_rows)
+    even = F.least(F.greatest(F.floor((F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * ranges), F.lit(0)), F.lit(ranges - 1)).cast("bigint")
+    # Keys that would fill a range alone: at most size / range_rows of them.
+    hot = spans.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > range_rows) if size > range_rows else None
+    most = hot.agg(F.max("n")).first()[0] if hot is not None else None
+    if most is None:
+        probes, spans = (df.select("*", even.alias("part"), F.lit(0).alias("piece")) for df in (probes, spans))
+    else:
+        cuts = [i / pieces(most, range_rows) for i in range(1, pieces(most, range_rows))]
+        bounds = checkpoint(spans.join(hot, "k", "left_semi").groupBy("k").agg(F.array_distinct(F.percentile_approx("s", cuts, 10_000)).alias("bounds")))
+        placed = lambda df, at: df.join(bounds, "k", "left").select(*df.columns, "bounds", F.when(F.col("bounds").isNull(), even).otherwise(F.col("h")).alias("part"), F.coalesce(F.size(F.filter("bounds", lambda b: b <= F.col(at))), F.lit(0)).alias("piece"))
+        probes, spans = placed(probes, "t").drop("bounds"), placed(spans, "s")
+        # What covers the start of a later piece: one span per key and piece.
+        later = spans.filter("bounds is not null").select("k", "h", "part", "e", F.col("piece").alias("own"), F.posexplode("bounds").alias("at", "s")).filter((F.col("at") >= F.col("own")) & (F.col("e").isNull() | (F.col("e") > F.col("s"))))
+        carried = later.groupBy("k", "h", "s", "part", (F.col("at") + 1).alias("piece")).agg(F.when(~F.bool_or(F.col("e").isNull()), F.max("e")).alias("e"))
+        spans = spans.drop("bounds").unionByName(carried)
     # Slices per range, from exact counts; one small row per range.
-    sizes = probes.groupBy("part").count().select("part", F.greatest(F.lit(1), F.ceil(F.col("count") / slice_rows)).cast("int").alias("slices"))
-    left = probes.join(sizes, "part").withColumn("slice", F.pmod(F.xxhash64("id", "src", "t"), F.col("slices")).cast("int")).drop("slices")
-    right = spans.join(sizes, "part").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-
-    def both(refs: pa.Table, held: pa.Table) -> pa.Table:
-        return orphans(held_of(held), refs)
-
-    return left.groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInArrow(both, out)
+    sizes = probes.groupBy("part", "piece").count().select("part", "piece", F.greatest(F.lit(1), F.ceil(F.col("count") / slice_rows)).cast("int").alias("slices"))
+    sizes = F.broadcast(sizes) if most is None and ranges <= SIZE_ROWS else sizes
+    left = probes.join(sizes, ["part", "piece"]).withColumn("slice", F.pmod(F.xxhash64("id", "src", "t"), F.col("slices")).cast("int")).drop("slices")
+    right = spans.join(sizes, ["part", "piece"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+
+    def orphans(refs: pa.Table, held: pa.Table) -> pa.Table:
+        parents = SortedParents(one_array(held.column("k")), held.column("h").to_numpy(), micros(held.column("s"), 0), micros(held.column("e"), FOREVER))
+        lost = ~parents.covers(one_array(refs.column("k")), refs.column("h").to_numpy(), micros(refs.column("t"), -FOREVER)) if len(refs) else np.zeros(0, bool)
+        return refs.filter(pa.array(lost)).select(["src", "t", "id"])
+
+    grouped = ("part", "piece", "slice")
+    lost = left.groupBy(*grouped).cogroup(right.groupBy(*grouped)).applyInArrow(orphans, f"src tinyint, t {'timestamp' if zoned else 'timestamp_ntz'}, id bigint")
+    names = F.array(*(F.lit(name) for name, *_ in references))
+    return lost.select(names[F.col("src").cast("int")].alias("src_table"), month(F.col("t")).alias("period"), F.col("id").alias("row_id"))
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

@@ -25,10 +25,15 @@ def key_states(df: DataFrame, keys: Sequence[str], sums: dict[str, Column | str]
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(rows), *(F.coalesce(F.sum(e), F.lit(0)).alias(n) for n, e in sums.items()))
 
 
+def times(a: str, b: str) -> Column:
+    """The product of two counts as decimal(38,0): those of hot keys pass 64 bits; null beyond 38 digits, never an error."""
+    return F.try_multiply(F.col(a).cast("decimal(19,0)"), F.col(b).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def eager_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_sums: dict[str, Column | str] | None = None, right_sums: dict[str, Column | str] | None = None, how: str = "full") -> DataFrame:
     """Per key, what aggregating the joined rows would give, without ever forming them.
 
-    Columns: the keys, ``left_rows``, ``right_rows``, each named sum of its own side, ``joined_rows`` and for each sum
+    Columns: the keys, ``left_rows``, ``right_rows``, each named sum of its own side, ``joined_rows`` (a decimal) and for each sum
     ``joined_<name>``, its total over the joined rows. With ``how="full"`` keys of either side stay with zeros for
     the missing side. Null keys are a group on each side but match nothing, as in any equi-join, so with ``full``
     they appear once for each side that has them.
@@ -41,7 +46,7 @@ def eager_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_sums
     state = joined.select(*keys, *zero)
     return state.select(
         "*",
-        (F.col("left_rows") * F.col("right_rows")).alias("joined_rows"),
+        times("left_rows", "right_rows").alias("joined_rows"),
         *((F.col(n) * F.col("right_rows")).alias(f"joined_{n}") for n in left_sums),
         *((F.col(n) * F.col("left_rows")).alias(f"joined_{n}") for n in right_sums),
     )
@@ -57,7 +62,7 @@ def rolled_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: Sequ
     b = key_states(right, keys, None, "right_rows")
     state = a.join(b, list(keys))
     return state.groupBy(*by).agg(
-        F.sum(F.col("left_rows") * F.col("right_rows")).alias("joined_rows"),
+        F.try_sum(times("left_rows", "right_rows")).alias("joined_rows"),
         *(F.sum(F.col(n) * F.col("right_rows")).alias(f"joined_{n}") for n in left_sums),
     )
 

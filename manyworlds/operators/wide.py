@@ -73,7 +73,9 @@ def widen(df: DataFrame, entity: str, attribute: str, value: str, types: dict[st
     )
     latest = rows.groupBy("e", "pos").agg(F.max_by("val", F.when(F.col("val").isNotNull(), F.struct("at", "val"))).alias("val"))
     kept = latest.groupBy("e").agg(F.collect_list(F.struct("pos", "val")).alias("kept"))
-    # An entity's side of the grid is the list of all positions; its kept values are joined to it from the left, so the
-    # array has one element per attribute, in order. At most len(types) + 1 values an entity get here.
-    grid = kept.select("e", F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.get(F.filter("kept", lambda k: k["pos"] == i), F.lit(0))["val"]).alias("cells"))
-    return grid.select(F.col("e").alias(entity), *(typed(F.col("cells")[i], kind).alias(n) for i, (n, kind) in enumerate(types.items())))
+    # An entity's side of the grid is a null cell per position; its kept values (at most len(types) + 1) are joined to it
+    # by sorting both by position, where a kept value comes behind the null of its cell: the last of a position stays.
+    empty = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.struct(i.alias("pos"), F.lit(None).cast("string").alias("val"))) if names else F.array().cast("array<struct<pos:int,val:string>>")
+    both = kept.select("e", F.array_sort(F.concat(empty, F.filter("kept", lambda k: k["pos"] >= 0))).alias("both"))
+    grid = both.select("e", F.filter("both", lambda x, i: ~F.get("both", i + 1)["pos"].eqNullSafe(x["pos"])).alias("cells"))
+    return grid.select(F.col("e").alias(entity), *(typed(F.get("cells", F.lit(i))["val"], kind).alias(n) for i, (n, kind) in enumerate(types.items())))

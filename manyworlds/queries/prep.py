@@ -14,8 +14,10 @@ SKILL_TYPES = {k: "boolean" for k in ("pass", "shoot", "block", "steal", "reboun
 
 
 def p2_skills_wide(spark: SparkSession, root: str) -> DataFrame:
-    """One row per trimmed player, one typed column per skill, the latest usable value of each."""
-    return wide.widen(table(spark, root, "skills"), "player", "skill", "has", SKILL_TYPES, ["loaded_at", "skill_id"])
+    """One row per trimmed player, one typed column per skill, the latest usable value of each. A skill that SKILL_TYPES
+    doesn't know gets a column too, of the type that its values fit."""
+    skills = table(spark, root, "skills")
+    return wide.widen(skills, "player", "skill", "has", SKILL_TYPES | {n: k for n, k in wide.found_types(skills, "skill", "has").items() if n not in SKILL_TYPES}, ["loaded_at", "skill_id"])
 
 
 def p2_attribute_types(spark: SparkSession, root: str) -> DataFrame:
@@ -46,13 +48,13 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 def p4_node_totals(spark: SparkSession, root: str) -> DataFrame:
     """Every node's row counts and probability sums in both tables, and what their join on u would give for it."""
     joined = skew.eager_join(table(spark, root, "total_order"), table(spark, root, "edge"), ["u"], {"sum_p": "p"}, {"sum_p0": "_p0"})
-    return joined.select("u", F.col("left_rows").alias("order_rows"), F.round("sum_p", 4).alias("sum_p"), F.col("right_rows").alias("edge_rows"), F.round("sum_p0", 4).alias("sum_p0"), "joined_rows", F.round("joined_sum_p", 2).alias("joined_sum_p"))
+    return joined.select("u", F.col("left_rows").alias("order_rows"), F.round("sum_p", 4).alias("sum_p"), F.col("right_rows").alias("edge_rows"), F.round("sum_p0", 4).alias("sum_p0"), F.col("joined_rows").cast("bigint"), F.round("joined_sum_p", 2).alias("joined_sum_p"))
 
 
 def p4_bit_rollup(spark: SparkSession, root: str) -> DataFrame:
     """Rows and probability of total_order joined to edge on u, per bit, from states per node."""
     rolled = skew.rolled_join(table(spark, root, "total_order"), table(spark, root, "edge"), ["u"], ["bit"], {"sum_p": "p"})
-    return rolled.select("bit", "joined_rows", F.round("joined_sum_p", 0).alias("joined_sum_p"))
+    return rolled.select("bit", F.col("joined_rows").cast("bigint"), F.round("joined_sum_p", 0).alias("joined_sum_p"))
 
 
 def _rolling(spark: SparkSession, root: str, once: list[str] | None) -> DataFrame:
@@ -74,8 +76,14 @@ def line_layouts(codes: list[str]) -> dict[str, lenient.Layout]:
     """The two import files."""
     any_text = None
     return {
-        "performance": lenient.Layout(("player", "match_date", "match", "points"), (any_text, lambda v: lenient.iso_date(v) is not None, lenient.matchup(codes), lenient.count_up_to(200)), required=frozenset({"match_date"})),
-        "playerinfo": lenient.Layout(("team", "player", "dob", "height", "weight"), (any_text, any_text, lambda v: lenient.birth_date(v) is not None, any_text, any_text)),
+        "performance": lenient.Layout(
+            ("player", "match_date", "match", "points"), (any_text, lambda v: lenient.iso_date(v) is not None, lenient.matchup(codes), lenient.count_up_to(200)),
+            columns=(any_text, lambda v: lenient.iso_date_column(v).isNotNull(), lambda v: lenient.matchup_column(v, codes), lenient.count_up_to_column(200)), required=frozenset({"match_date"}),
+        ),
+        "playerinfo": lenient.Layout(
+            ("team", "player", "dob", "height", "weight"), (any_text, any_text, lambda v: lenient.birth_date(v) is not None, any_text, any_text),
+            columns=(any_text, any_text, lambda v: lenient.birth_date_column(v).isNotNull(), any_text, any_text),
+        ),
     }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from datetime import date, datetime, timedelta
@@ -45,6 +46,11 @@ def test_rolled_join_and_heavy_keys(spark):
     assert rows(skew.heavy_keys(a.limit(0), b.limit(0), "u", ("a", "b"))) == []
 
 
+def test_joined_rows_pass_64_bits(spark):
+    a = spark.createDataFrame([("h", 4_000_000_000), ("n", None)], "u string, left_rows bigint").withColumn("right_rows", F.col("left_rows"))
+    assert [r[0] for r in a.select(skew.times("left_rows", "right_rows")).collect()] == [16 * 10**18, None]
+
+
 # --- attribute-value rows --------------------------------------------------------------------------------------------
 
 
@@ -78,6 +84,13 @@ def test_found_types(spark):
         wide.found_types(df, "a", "v", most=2)
 
 
+def test_a_new_attribute_gets_a_column(spark, tmp_path):
+    data = [(1, "A", "pass", "y", at(1)), (2, "A", "Sprint", "12", at(1)), (3, "B", "sprint ", "9", at(1)), (4, "B", "zone_defence", "n", at(1))]
+    spark.createDataFrame(data, "skill_id bigint, player string, skill string, has string, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/skills.parquet")
+    got = {r["player"]: r for r in QUERIES["p2_skills_wide"](spark, str(tmp_path)).collect()}
+    assert (got["A"]["sprint"], got["B"]["sprint"], got["A"]["pass"], got["B"]["zone_defence"], got["B"]["pass"]) == (12, 9, True, False, None)
+
+
 # --- references ------------------------------------------------------------------------------------------------------
 
 DAY = datetime(2024, 1, 1)
@@ -87,7 +100,7 @@ def at(n):
     return None if n is None else DAY + timedelta(days=n)
 
 
-@pytest.mark.parametrize("bounds", [{}, {"broadcast_rows": 0, "range_rows": 20, "slice_rows": 30}])
+@pytest.mark.parametrize("bounds", [{}, {"range_rows": 20, "slice_rows": 30}, {"range_rows": 3, "slice_rows": 10}])
 def test_missing_references(spark, bounds):
     rng = random.Random(2)
     names = [f"n{i}" for i in range(25)]
@@ -108,6 +121,45 @@ def test_missing_references(spark, bounds):
     assert sum(x["orphans"] for x in orphans.orphan_report(empty).collect()) == empty.count()
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_without_zone_stand_as_they_are(spark, zone):
+    was = spark.conf.get("spark.sql.session.timeZone")
+    p = spark.createDataFrame([("a", datetime(2024, 3, 10, 2, 15), None), ("b", datetime(2024, 3, 10, 3, 15), None)], "k string, s timestamp_ntz, e timestamp_ntz")
+    r = spark.createDataFrame([(1, "a", datetime(2024, 3, 10, 2, 45)), (2, "b", datetime(2024, 3, 10, 2, 45)), (3, "c", datetime(2024, 3, 31, 23, 59))], "i int, k string, t timestamp_ntz")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = rows(orphans.missing_references([("r", r, "i", "k", "t")], p, "k", "s", "e"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+    assert got == [("r", "2024-03", 2), ("r", "2024-03", 3)]
+
+
+def test_a_parent_with_very_many_spans_is_split_by_time(spark):
+    rng = random.Random(8)
+    spans = [("hot", at(n), at(n + rng.choice([1, 2, 3, 400]) if n % 7 else None if n > 900 else n + 1), 0) for n in range(0, 1000, 3)] + [(f"k{i}", at(i), None, 0) for i in range(30)]
+    refs = [(i, rng.choice(["hot", "hot", "hot", "k3", "no"]), at(rng.randint(0, 1100))) for i in range(500)]
+    p = spark.createDataFrame(spans, "k string, s timestamp_ntz, e timestamp_ntz, piece int")
+    r = spark.createDataFrame(refs, "i int, k string, t timestamp_ntz")
+    got = rows(orphans.missing_references([("r", r, "i", "k", "t")], p, "k", "s", "e", range_rows=40, slice_rows=60))
+    assert got == sorted([("r", t.strftime("%Y-%m"), i) for i, k, t in refs if not any(q == k and a <= t and (b is None or b > t) for q, a, b, _ in spans)], key=str)
+
+
+def test_excess_delimiters_may_be_spread_over_fields():
+    layout = lenient.Layout(("a", "n", "b", "m"), (None, str.isdigit, None, str.isdigit))
+    rng = random.Random(5)
+    for _ in range(300):
+        pieces = [rng.choice(["1", "22", "x", "y y", ""]) for _ in range(rng.randint(5, 8))]
+        values, edits = lenient.fitted(pieces, layout)
+        costs = []
+        for cuts in itertools.combinations(range(1, len(pieces)), 3):
+            edges = [0, *cuts, len(pieces)]
+            spans = ["|".join(pieces[i:j]) for i, j in zip(edges, edges[1:])]
+            costs.append((sum(c is not None and not c(v) for c, v in zip(layout.checks, spans)), sum(j - i > 1 for i, j in zip(edges, edges[1:]))))
+        got = (sum(c is not None and not c(v) for c, v in zip(layout.checks, values)), sum("|" in v for v in values))
+        assert got == min(costs) and "|".join(values) == "|".join(pieces) and len(edits) == len(pieces) - 4
+    assert lenient.fitted(["x"] * 20_000 + ["1"], layout)[0][-1] == "1"
+
+
 # --- trailing periods ------------------------------------------------------------------------------------------------
 
 
