@@ -34,8 +34,9 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_leak_report(spark: SparkSession, root: str) -> DataFrame:
-    """Per item: how many mails carry a passage of it, and the longest one."""
-    return _leaks(spark, root).groupBy("item_id").agg(F.count(F.lit(1)).alias("mails"), F.max("longest_run").alias("longest_run"))
+    """Per item: how many mails carry a passage of it word for word, the longest one, how many carry only an altered one."""
+    exact = F.col("longest_run") > 0
+    return _leaks(spark, root).groupBy("item_id").agg(F.count_if(exact).alias("mails"), F.max("longest_run").alias("longest_run"), F.count_if(~exact).alias("altered_mails"), F.max(F.when(~exact, F.col("similarity"))).alias("altered_similarity"))
 
 
 def _mixture(spark: SparkSession, root: str) -> DataFrame:

@@ -80,7 +80,7 @@ def test_the_multi_index_finds_everything_within_the_radius():
     import numpy as np
 
     rng = random.Random(2)
-    index = leak.PassageIndex([(i, " ".join(rng.choices([f"w{k}" for k in range(400)], k=12))) for i in range(300)], 12, 5, 3, 0.8)
+    index = leak.PassageIndex([(i, " ".join(rng.choices([f"w{k}" for k in range(400)], k=12))) for i in range(300)], 12, 5, 3, 0.8, 15)
     probes = []
     for p in index.prints:
         flip = 0
@@ -93,6 +93,59 @@ def test_the_multi_index_finds_everything_within_the_radius():
     assert set(zip(at.tolist(), k.tolist())) == want and len(want) > 100
 
 
+def altered(rng, tokens, every):
+    """One word in `every` replaced, at random places."""
+    out = list(tokens)
+    for at in rng.sample(range(len(out)), len(out) // every):
+        out[at] = f"other{rng.randrange(10**6)}"
+    return out
+
+
+def test_item_sized_windows_find_what_brute_force_does(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(50, 130)))) for i in range(60)]
+    docs = [(d, rng.choices(vocabulary, k=rng.randint(0, 80))) for d in range(240)]
+    for d, text in docs:
+        text[rng.randint(0, len(text)) : 0] = altered(rng, items[d % 60][1].split(), rng.choice([11, 40, 60, 100]))
+    docs = [(d, " ".join(t)) for d, t in docs]
+
+    def best(text, item):
+        """The largest weighted similarity of the item and any stretch of its length."""
+        grams = lambda t: {tuple(t[i : i + 5]): sum(min(31, len(w)) for w in t[i : i + 5]) for i in range(len(t) - 4)}
+        b = grams(item)
+        top = 0.0
+        for at in range(max(0, len(text) - len(item)) + 1):
+            a = grams(text[at : at + len(item)])
+            both = sum(w for g, w in a.items() if g in b)
+            top = max(top, both / max(1, sum(a.values()) + sum(b.values()) - both))
+        return top
+
+    want = {(d, d % 60) for d, t in docs if best(t.split(), items[d % 60][1].split()) >= 0.8}
+    df, it = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leak.leaked_items(df, it, body=lambda t: t).filter("similarity >= 0.8 and windows > 0").collect()}
+    assert len(want) > 80 and len(want & got) >= 0.9 * len(want) and all(i == d % 60 for d, i in got)
+    # One word in ten replaced: beyond 0.8 of five-word shingles, within 0.5 of two-word ones.
+    hard = [(d, " ".join(altered(rng, t.split(), 10))) for d, t in items]
+    loose = leak.leaked_items(spark.createDataFrame(hard, "doc_id int, text string"), it, body=lambda t: t, shingle=2, similarity=0.5, item_radius=19)
+    assert len({r["doc_id"] for r in loose.filter("doc_id = item_id").collect()}) >= 54 and loose.filter("doc_id <> item_id").count() == 0
+
+
+def test_the_item_index_finds_everything_within_the_radius():
+    import numpy as np
+
+    rng = random.Random(3)
+    held = leak.ItemWindows(40, [(i, rng.choices([f"w{k}" for k in range(900)], k=40)) for i in range(200)], 5, 15, 0.8, leak.Hasher())
+    probes = []
+    for p in held.prints:
+        flip = 0
+        for b in rng.sample(range(64), rng.randint(0, 18)):
+            flip |= 1 << b
+        probes.append(int(p) ^ flip)
+    at, k = held.near(np.array(probes, np.uint64))
+    assert set(zip(at.tolist(), k.tolist())) == {(i, j) for i, x in enumerate(probes) for j, y in enumerate(held.prints) if (x ^ int(y)).bit_count() <= 15}
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
