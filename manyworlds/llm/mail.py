@@ -11,6 +11,7 @@ from __future__ import annotations
 import binascii
 import html
 import re
+from typing import NamedTuple
 
 _HEADER_LINE = re.compile(r"[!-9;-~]+:|From ")
 # A line of blanks alone still folds the header; it ends one only where no empty line does.
@@ -72,23 +73,43 @@ def _decoded(body: str, encoding: str, charset: str) -> str:
             return raw.decode("utf-8", "replace")
 
 
-def parts(mail: str | None) -> list[tuple[bool, str]]:
-    """The text parts of a mail in order, decoded: (whether it is HTML, text). A null or empty mail has none.
+class Part(NamedTuple):
+    """A node of a mail's tree: a text (`text` not None) or a container, of which all `inside` count or, of alternatives, one."""
+
+    is_html: bool = False
+    text: str | None = None
+    alternatives: bool = False
+    inside: list[Part] = []  # noqa: RUF012  every container is given its own
 
-    A text that doesn't start like a header is all body.
+
+def tree(mail: str | None) -> list[Part]:
+    """The parts of a mail, decoded, each before what is inside it; the first is the whole. A null or empty mail is a
+    container of nothing. A text that doesn't start like a header is all body. Parts may be nested as deeply as they like.
     """
-    out: list[tuple[bool, str]] = []
-    if mail:
-        _collect(mail, out, 0)
-    return out
+    nodes = [Part(inside=[])]
+    waiting = [(mail, False, nodes[0].inside)] if mail else []
+    while waiting:
+        entity, nested, into = waiting.pop()
+        node, pieces = _entity(entity, nested)
+        if node is not None:
+            into.append(node)
+            nodes.append(node)
+            waiting += [(piece, True, node.inside) for piece in reversed(pieces)]
+    return nodes
+
+
+def parts(mail: str | None) -> list[tuple[bool, str]]:
+    """The text parts of a mail in order, decoded: (whether it is HTML, text)."""
+    return [(node.is_html, node.text) for node in tree(mail) if node.text is not None]
 
 
-def _collect(entity: str, out: list[tuple[bool, str]], depth: int) -> None:
+def _entity(entity: str, nested: bool) -> tuple[Part | None, list[str]]:
+    """A mail or a part of one: its node (None for an attachment), and the entities inside it."""
     head, body = "", entity
     if _HEADER_LINE.match(entity):
         gap = _BLANK.search(entity) or _ALMOST.search(entity)
         head, body = (entity[: gap.start()], entity[gap.end() :]) if gap else (entity, "")
-    elif depth and entity[:1] in "\r\n":
+    elif nested and entity[:1] in "\r\n":
         body = entity.lstrip("\r\n")
     kind, encoding, charset, boundary = "text/plain", "", "", ""
     if "ontent-" in head or "ONTENT-" in head or "content-" in head.lower():
@@ -103,10 +124,11 @@ def _collect(entity: str, out: list[tuple[bool, str]], depth: int) -> None:
             elif name == "content-transfer-encoding":
                 encoding = value.split(";", 1)[0].strip().lower()
             elif value.lstrip().lower().startswith("attachment"):
-                return
+                return None, []
     if kind.startswith("multipart/"):
-        if boundary and depth < 20:
-            marks = _delimited(body, boundary)
+        marks = _delimited(body, boundary) if boundary else []
+        if marks:
+            pieces = []
             for k, (_, start, last) in enumerate(marks):
                 if last:  # what follows is the epilogue
                     break
@@ -114,14 +136,14 @@ def _collect(entity: str, out: list[tuple[bool, str]], depth: int) -> None:
                 piece = body[start:stop]
                 # The line break before a boundary belongs to it.
                 piece = piece.removesuffix("\n").removesuffix("\r") if k + 1 < len(marks) else piece
-                _collect(piece[2:] if piece[:2] == "\r\n" else piece[1:], out, depth + 1)
-            if marks:
-                return
+                pieces.append(piece[2:] if piece[:2] == "\r\n" else piece[1:])
+            return Part(alternatives=kind == "multipart/alternative", inside=[]), pieces
         kind = "text/plain"
-    if kind == "message/rfc822" and depth < 20:
-        _collect(body, out, depth + 1)
-    elif kind.startswith("text/") or "/" not in kind:
-        out.append((kind == "text/html", _decoded(body, encoding, charset)))
+    if kind == "message/rfc822":
+        return Part(inside=[]), [body]
+    if kind.startswith("text/") or "/" not in kind:
+        return Part(kind == "text/html", _decoded(body, encoding, charset), inside=[]), []
+    return None, []
 
 
 def html_text(page: str, links: bool = False) -> str:

@@ -36,6 +36,8 @@ _BULLET = re.compile(r"(?:\(?\d{1,3}[.)]|[-+*•·>|]+)(?=\s|$)\s*")
 _END = re.compile(r"[.!?](?:\s+[^\W\d_a-zß-ÿ]|\s*$)")
 _SEPARATED = re.compile(r"[,;|/•·]")
 _RECORD = re.compile(r"\d{1,2}:\d\d|\d{4}-\d\d-\d\d|\w=\w|#\d|[{}\[\]()]\s*[:=]|\[\w|\w\(|\S {2,}\S|\t|@\w|\d-\d")
+#: A paragraph of so many words with a sentence's end is prose: where it is quoted again, that is no repetition of keywords.
+PROSE = 8
 _RULE = re.compile(r"[*_\-=#~+]{3,}")
 #: Openings and words of the notices that mail programs and lists add (fixed values, several languages).
 _NOTICE = re.compile(r"confidential|privileged|intended (?:only )?for|meant only for|addressee|vertraulich|confidentiel|confidencial|riservat|you receive this (?:mail|message)|member of the list|before printing|scanned for", re.I)
@@ -90,12 +92,34 @@ def _capitals(line: str, words: list[str]) -> str:
     return "none" if not upper else "all" if upper == len(first) else "first" if upper == 1 and words[0][0].isupper() else "some"
 
 
+def quoted_again(lines: list[str]) -> list[int]:
+    """Of paragraphs of prose that stand more than once: the words of each line of all but the first; 0 elsewhere."""
+    out, seen, i, n = [0] * len(lines), set(), 0, len(lines)
+    while i < n:
+        stop = i
+        while stop < n and lines[stop]:
+            stop += 1
+        paragraph = " ".join(lines[i:stop])
+        if _END.search(paragraph):
+            found = _WORD.findall(paragraph.lower())
+            if len(found) >= PROSE:
+                if (key := " ".join(found)) in seen:
+                    out[i:stop] = [len(_WORD.findall(_URL.sub(" x ", x))) for x in lines[i:stop]]
+                seen.add(key)
+        i = stop + 1
+    return out
+
+
 def line_shapes(lines: list[str]) -> list[Shape]:
     """The shape of each line (or piece of a long one) with words in it. A link is one word."""
     cut: list[tuple[str, list[str], int]] = []
-    for line in lines:
+    shapes: list[Shape] = []
+    for line, again_words in zip(lines, quoted_again(lines)):
         if not line:
             continue
+        if again_words:
+            shapes.append(Shape("sentence", again_words, "", 0, 0))
+            continue
         plain, links = _URL.subn(" ", line) if "://" in line or "www." in line.lower() else (line, 0)
         if links:
             bare = _BULLET.sub("", plain.strip(), count=1)
@@ -127,7 +151,7 @@ def line_shapes(lines: list[str]) -> list[Shape]:
         for k in range(len(ps) - 2):
             if ps[k + 2] - ps[k] <= NEAR:
                 again[ps[k]] = again[ps[k + 1]] = again[ps[k + 2]] = 1
-    shapes, at = [], 0
+    at = 0
     for n, (line, found, links) in enumerate(cut):
         size = len(found)
         if links:
@@ -160,9 +184,19 @@ def line_shapes(lines: list[str]) -> list[Shape]:
     return shapes
 
 
-def stuffed_share(text: str, is_html: bool, few: int = FEW) -> tuple[float, int, int]:
-    """(share, words, shapes): how much of a part's words the largest `few` non-sentence shapes hold, how many words
-    there are, and how many shapes that is. Shapes are grouped with their word counts in steps of four."""
+class Page(NamedTuple):
+    """The words of a part, in all and by non-sentence shape (with their word counts in steps of four)."""
+
+    total: int
+    shapes: Counter[Shape]
+
+    def share(self, few: int = FEW) -> float:
+        """How much of the words the largest `few` non-sentence shapes hold."""
+        return sum(n for _, n in self.shapes.most_common(few)) / self.total if self.total else 0.0
+
+
+def part_page(text: str, is_html: bool) -> Page:
+    """A text part by shapes."""
     per: Counter[Shape] = Counter()
     total = 0
     for s in line_shapes(without_notices(body_lines(text, is_html))):
@@ -170,13 +204,24 @@ def stuffed_share(text: str, is_html: bool, few: int = FEW) -> tuple[float, int,
         total += size
         if s.kind in STUFFING:
             per[s._replace(words=min(3, s.words // 4), links=min(1, s.links))] += size
-    top = per.most_common(few)
-    return (sum(n for _, n in top) / total if total else 0.0), total, len(top)
-
-
-def page_share(mail_text: str | None) -> tuple[float, int, int]:
-    """The part of a mail with the largest share (alternatives say the same twice, but only one may hide words)."""
-    return max((stuffed_share(t, h) for h, t in mail.parts(mail_text)), default=(0.0, 0, 0))
+    return Page(total, per)
+
+
+def mail_page(mail_text: str | None) -> Page:
+    """The body of a mail: all of its parts together, but of alternatives, which say the same twice, the one with the
+    largest share, because any of them may hide words."""
+    nodes = mail.tree(mail_text)
+    pages: dict[int, Page] = {}
+    for node in reversed(nodes):  # what is inside a part comes before it
+        inside = [pages[id(x)] for x in node.inside]
+        if node.text is not None:
+            page = part_page(node.text, node.is_html)
+        elif node.alternatives:
+            page = max(inside, key=lambda x: (x.share(), x.total), default=Page(0, Counter()))
+        else:
+            page = Page(sum(x.total for x in inside), sum((x.shapes for x in inside), Counter()))
+        pages[id(node)] = page
+    return pages[id(nodes[0])]
 
 
 def stuffed_pages(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", above: float = 0.5) -> DataFrame:
@@ -190,7 +235,8 @@ def stuffed_pages(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, *found) for i, t in zip(batch["doc_id"], batch["text"]) if (found := page_share(t))[0] > above]
+            pages = [(i, mail_page(t)) for i, t in zip(batch["doc_id"], batch["text"])]
+            rows = [(i, share, page.total, min(FEW, len(page.shapes))) for i, page in pages if (share := page.share()) > above]
             yield pd.DataFrame(rows, columns=["doc_id", "share", "words", "shapes"])
 
     return cut.mapInPandas(judge, "doc_id bigint, share double, words int, shapes int")

@@ -222,7 +222,7 @@ TABLE = "player    min   pts\n" + "\n".join(f"Player {i}    {i}    {i * 2}" for
     ],
 )
 def test_stuffing(text, flagged):
-    assert (spam.stuffed_share(text, False)[0] > 0.5) == flagged
+    assert (spam.part_page(text, False).share() > 0.5) == flagged
 
 
 def test_notices_and_hidden_text_and_awkward_rows(spark):
@@ -316,3 +316,36 @@ def test_roots_of_roots_are_followed_to_the_end(spark):
     uses = [(w,) for i, w in enumerate(chain) for _ in range(1 + 3 * i)]
     roots = names.surname_roots(spark.createDataFrame(uses, "word string"))
     assert {(r["word"], r["root"]) for r in roots.collect()} == {(w, chain[-1]) for w in chain}
+
+
+def prose(rng, n):
+    """Sentences of words that hardly come again."""
+    return " ".join(" ".join("".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(3, 9))) for _ in range(11)).capitalize() + "." for _ in range(n // 11))
+
+
+def test_the_body_is_judged_as_a_whole():
+    rng = random.Random(9)
+    links = "\n".join(f"http://x{i}.example/a" for i in range(5))
+    long, short = prose(rng, 330), "buy cheap shoes cheap boots cheap shoes buy boots shoes buy cheap boots " * 20
+    plain = lambda t: f"Content-Type: text/plain\n\n{t}"
+    assert spam.mail_page(multipart(plain(long), plain(links))).share() < 0.1
+    assert spam.mail_page(multipart(plain(long), plain(short * 3))).share() > 0.5
+    other = HEAD + 'Content-Type: multipart/alternative; boundary="B"\n\n' + f"--B\n{plain('See you on Sunday.')}\n--B\nContent-Type: text/html\n\n<p>See you on Sunday.</p><div style='display:none'>{short}</div>\n--B--\n"
+    assert spam.mail_page(other).share() > 0.5
+    assert spam.mail_page(None).share() == spam.mail_page("").share() == spam.mail_page(multipart()).share() == 0
+
+
+def test_prose_that_is_quoted_again_is_no_repetition():
+    rng = random.Random(10)
+    paragraph = prose(rng, 33)
+    lines = "\n".join(paragraph[i : i + 60] for i in range(0, len(paragraph), 60))
+    quoted = "\n\n".join("\n".join("> " * k + line for line in lines.split("\n")) for k in range(4))
+    assert spam.part_page(quoted, False).share() == 0
+    assert spam.part_page("\n\n".join(["cheap shoes buy boots online"] * 30), False).share() > 0.5
+
+
+def test_deeply_nested_parts():
+    inner = "Content-Type: text/plain\n\nat the bottom"
+    for k in range(200):
+        inner = f'Content-Type: multipart/mixed; boundary="b{k}"\n\n--b{k}\n{inner}\n--b{k}--\n'
+    assert mail.visible(inner).strip() == "at the bottom"
