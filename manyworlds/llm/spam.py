@@ -38,6 +38,8 @@ _SEPARATED = re.compile(r"[,;|/•·]")
 _RECORD = re.compile(r"\d{1,2}:\d\d|\d{4}-\d\d-\d\d|\w=\w|#\d|[{}\[\]()]\s*[:=]|\[\w|\w\(|\S {2,}\S|\t|@\w|\d-\d")
 #: A paragraph of so many words with a sentence's end is prose: where it is quoted again, that is no repetition of keywords.
 PROSE = 8
+#: Terms that don't recur are stuffing from so many words on, in a part without a sentence.
+STRUNG = 24
 _RULE = re.compile(r"[*_\-=#~+]{3,}")
 #: Openings and words of the notices that mail programs and lists add (fixed values, several languages).
 _NOTICE = re.compile(r"confidential|privileged|intended (?:only )?for|meant only for|addressee|vertraulich|confidentiel|confidencial|riservat|you receive this (?:mail|message)|member of the list|before printing|scanned for", re.I)
@@ -151,7 +153,7 @@ def line_shapes(lines: list[str]) -> list[Shape]:
         for k in range(len(ps) - 2):
             if ps[k + 2] - ps[k] <= NEAR:
                 again[ps[k]] = again[ps[k + 1]] = again[ps[k + 2]] = 1
-    at = 0
+    at, told = 0, bool(shapes)
     for n, (line, found, links) in enumerate(cut):
         size = len(found)
         if links:
@@ -169,7 +171,10 @@ def line_shapes(lines: list[str]) -> list[Shape]:
         elif tags and 2 * tags >= size - 1 and not re.search(r"#\d", line):
             kind = "tags"
         elif recurring < 0.3:
-            kind = "sentence"  # or a record of new words: neither a list of repetitions nor stuffing
+            # A record of new words, or terms strung together: which of both, the rest of the part tells.
+            strung = size >= 5 and separators >= 2 and size <= 4.6 * (separators + 1) and not _END.search(line[:-1]) and not _RECORD.search(line)
+            kind = "terms" if strung else "sentence"
+            told |= size > 4 and bool(_END.search(line))
         elif _RECORD.search(line):
             kind = "record"
         elif size >= 5 and separators >= 2 and size <= 4.6 * (separators + 1) and not _END.search(line[:-1]):
@@ -178,10 +183,11 @@ def line_shapes(lines: list[str]) -> list[Shape]:
             kind = "recurring"
         else:
             kind = "sentence" if _END.search(line) or size > 4 else "words"
-        shapes.append(Shape(kind, step if kind not in ("sentence", "link") else size, _capitals(line, found) if kind != "link" else "", min(3, separators), 0) if kind != "sentence" else Shape(kind, size, "", 0, 0))
+        shapes.append(Shape(kind, step if kind not in ("sentence", "link", "terms") else size, _capitals(line, found) if kind != "link" else "", min(3, separators), 0) if kind != "sentence" else Shape(kind, size, "", 0, 0))
         if kind in STUFFING and kind != "link":
             shapes[-1] = shapes[-1]._replace(words=size)
-    return shapes
+    told |= sum(x.words for x in shapes if x.kind == "terms") < STRUNG
+    return [x._replace(kind="sentence" if told else "list") if x.kind == "terms" else x for x in shapes]
 
 
 class Page(NamedTuple):

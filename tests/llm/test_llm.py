@@ -349,3 +349,12 @@ def test_deeply_nested_parts():
     for k in range(200):
         inner = f'Content-Type: multipart/mixed; boundary="b{k}"\n\n--b{k}\n{inner}\n--b{k}--\n'
     assert mail.visible(inner).strip() == "at the bottom"
+
+
+def test_strung_terms_need_no_repetition():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(4, 9)))
+    terms = "\n".join(", ".join(f"{word()} {word()}" for _ in range(5)) for _ in range(6))
+    assert spam.part_page(terms, False).share() > 0.5
+    assert spam.part_page(terms + "\n\n" + prose(rng, 44), False).share() == 0
+    assert spam.part_page(", ".join(word() for _ in range(8)), False).share() == 0
