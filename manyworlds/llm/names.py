@@ -6,6 +6,9 @@ stand for, misspelt words by the established words one slip away, given names by
 are exploded and joined on equality. How much a shared form says depends on how rare it is: a form that the fully
 spelt names of exactly one person share identifies that person, and one that several share says nothing. So each
 spelling takes its most specific form that anybody has, and is linked if that form is rare enough, which is alone.
+Second surnames and middle initials are the most specific of all: spellings that have different ones are different
+persons, and one that has none says nothing where others with its given name and surname have several.
+Organisations are names with a legal form: the form's spellings are unified and the words put in one order.
 
 Two passes come before: one finds which words are used as given names (by their places), the other which surnames are
 slips of which (by forms with one letter left out, each group of equal forms being reduced to its most frequent word;
@@ -42,15 +45,26 @@ NICKNAMES = {
 TITLES = frozenset("mr mrs ms miss dr prof capt captain coach sir".split())
 SUFFIXES = {"jr": "jr", "junior": "jr", "sr": "sr", "senior": "sr", "ii": "ii", "2nd": "ii", "iii": "iii", "3rd": "iii", "iv": "iv", "4th": "iv"}
 PARTICLES = frozenset("van von der den de di da del della la le al el bin ibn ter ten o mc mac st".split())
+#: Legal forms at the end of an organisation's name, and words that its name may be without.
+LEGAL_FORMS = {
+    "ltd": "limited", "limited": "limited", "inc": "incorporated", "incorporated": "incorporated", "corp": "corporation", "corporation": "corporation", "llc": "llc", "llp": "llp", "plc": "plc", "gmbh": "gmbh",
+    "pty ltd": "pty limited", "pty limited": "pty limited", "company": "company", "& co": "company", "and co": "company", "& company": "company", "and company": "company",
+}
+LINKING_WORDS = frozenset("the and of & und et y".split())
 #: Letters that don't decompose into a base letter and marks, and digits that look like letters.
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i", "0": "o", "1": "l", "3": "e", "5": "s"})
 #: A word is a given name of the vocabulary from this many uses on, whatever the size of the data.
 LEAST_USES = 3
 #: A frequent word that is one slip from one used this many times as often is taken for its slip.
 SLIP = 8
+#: Spellings of one person that are paired in one piece.
+PIECE = 500
 #: Surnames of so many letters, from and to, have too few to tell a slip by its letters alone.
 SHORT = 3, 5
 
+#: Stands for the given name of an organisation; no folded word has a blank.
+ORGANISATION = "an organisation"
+
 _MEANINGS: dict[str, tuple[str, ...]] = {}
 for _full, _short in NICKNAMES.items():
     for _nick in _short.split():
@@ -95,6 +109,7 @@ class Reading(NamedTuple):
     initial: str
     suffix: str
     ordered: bool
+    middle: str = ""
 
 
 class Vocabulary:
@@ -181,6 +196,16 @@ def asked_words(text: str) -> set[str]:
     return {w for w in asked if len(w) > 1}
 
 
+def organisation(text: str) -> tuple[str, str] | None:
+    """The words of an organisation's name in one order, and its legal form; None if the text has none."""
+    plain = re.sub(r"[.,]", " ", re.sub(r"(?<=\w)\.(?=\w)", "", text)).split()
+    for size in (2, 1):
+        form = LEGAL_FORMS.get(" ".join(plain[-size:]).lower()) if len(plain) > size else None
+        if form:
+            return "".join(sorted(filter(None, (fold(w) for w in plain[:-size] if w.lower() not in LINKING_WORDS)))), form
+    return None
+
+
 def read_name(text: str, vocabulary: Vocabulary | Known | None = None) -> Reading:
     """A spelling taken apart. Without a vocabulary the order of the tokens is taken as it stands."""
     nick = ""
@@ -225,7 +250,7 @@ def read_name(text: str, vocabulary: Vocabulary | Known | None = None) -> Readin
         word = nick
     elif nick and vocabulary is not None and not vocabulary.meanings(word)[1]:
         word = nick
-    return Reading(sur, word, word[:1] or (initials[0] if initials else ""), suffix, ordered)
+    return Reading(sur, word, word[:1] or (initials[0] if initials else ""), suffix, ordered, initials[0] if word and initials else "")
 
 
 def spellings(*columns: tuple[DataFrame, str]) -> DataFrame:
@@ -358,36 +383,71 @@ def linked(names: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text, own in zip(batch["spelling"], batch["known"]):
+                if (firm := organisation(text)) and firm[0]:
+                    rows.append((text, firm[0], [ORGANISATION], "", firm[1], None, None))
+                    continue
                 known = Known(own)
                 r = read_name(text, known)
                 given, sure = known.meanings(r.given)
                 if r.given and not sure:
                     given = (r.given,)
-                rows.append((text, r.surname[0] if r.surname else None, sorted(given), r.initial if not r.given else "", r.suffix))
-            yield pd.DataFrame(rows, columns=["spelling", "word", "given", "initial", "suffix"])
+                rows.append((text, r.surname[0] if r.surname else None, sorted(given), r.initial if not r.given else "", r.suffix, r.surname[1] if len(r.surname) > 1 else None, r.middle or None))
+            yield pd.DataFrame(rows, columns=["spelling", "word", "given", "initial", "suffix", "second", "middle"])
 
-    read = checkpoint(with_meanings(names).mapInPandas(parse, "spelling string, word string, given array<string>, initial string, suffix string"))
+    read = checkpoint(with_meanings(names).mapInPandas(parse, "spelling string, word string, given array<string>, initial string, suffix string, second string, middle string"))
     read = checkpoint(mended_surnames(read))
     placed = read.filter("word is not null").join(surname_roots(read), "word")
     # Forms, most specific first: each given name the spelling may mean, or its initial, or nothing.
     key = lambda part: F.concat_ws("|", part, F.col("root"), F.col("suffix"))
     full = F.transform("given", lambda g: key(F.concat(F.lit("g:"), g)))
     form = F.when(F.size("given") > 0, full).when(F.col("initial") != "", F.array(key(F.concat(F.lit("i:"), F.col("initial"))))).otherwise(F.array(key(F.lit("*"))))
-    spelt = placed.select("spelling", "root", "given", "initial", "suffix", form.alias("forms"))
-    certain = spelt.filter(F.size("given") == 1)
-    # Whom fully spelt names stand for, and how many persons share each of their rewritings.
-    persons = certain.select("root", "suffix", F.col("given")[0].alias("g"), F.col("forms")[0].alias("person")).distinct()
-    shorter = persons.select("person", F.explode(F.array(F.col("person"), key(F.concat(F.lit("i:"), F.substring("g", 1, 1))), key(F.lit("*")))).alias("form"))
+    spelt = placed.select("spelling", "root", "given", "initial", "suffix", "second", "middle", form.alias("forms"))
+    certain = apart(apart(spelt.filter(F.size("given") == 1).withColumn("person", F.col("forms")[0]), "second"), "middle")
+    # Whom fully spelt names stand for, and how many persons share each of their rewritings: with the given name, its
+    # initial and neither, each with and without the second surname; an organisation also without its legal form.
+    persons = certain.select("person", "root", "suffix", "second", F.col("given")[0].alias("g")).distinct()
+    bare = F.array(key(F.concat(F.lit("g:"), F.col("g"))), key(F.concat(F.lit("i:"), F.substring("g", 1, 1))), key(F.lit("*")))
+    bare = F.when(F.col("g") == ORGANISATION, F.array(bare[0], F.concat_ws("|", F.lit("*"), "root", F.lit("")))).otherwise(bare)
+    with_second = lambda forms: F.when(F.col("second").isNull(), F.array().cast("array<string>")).otherwise(F.transform(forms, lambda f: F.concat(f, F.lit("&"), F.col("second"))))
+    shorter = persons.select("person", F.explode(F.array_distinct(F.concat(bare, with_second(bare)))).alias("form"))
     rarity = shorter.groupBy("form").agg(F.count(F.lit(1)).alias("persons"), F.max("person").alias("person"))
-    open_ = spelt.filter(F.size("given") != 1).select("spelling", "forms", F.explode("forms").alias("form")).join(rarity, "form", "left")
+    # Of a spelling's forms those with the second surname come first, if anybody has them.
+    level = lambda forms, n: F.transform(forms, lambda f: F.struct(F.lit(n).alias("level"), f.alias("form")))
+    open_ = spelt.filter(F.size("given") != 1).select("spelling", "forms", F.explode(F.concat(level(with_second(F.col("forms")), 0), level(F.col("forms"), 1))).alias("at")).select("spelling", "forms", "at.level", "at.form")
+    found = open_.join(rarity, "form", "left").groupBy("spelling", "forms", "level").agg(F.coalesce(F.sum("persons"), F.lit(0)).alias("persons"), F.max("person").alias("person"))
     # A nickname of several names is one person if only one of these names is there; a form of several says nothing.
-    judged = open_.groupBy("spelling", "forms").agg(F.coalesce(F.sum("persons"), F.lit(0)).alias("persons"), F.max("person").alias("person"))
+    judged = found.groupBy("spelling", "forms").agg(F.min_by(F.struct("persons", "person"), F.when(F.col("persons") > 0, F.col("level"))).alias("who")).select("spelling", "forms", F.coalesce("who.persons", F.lit(0)).alias("persons"), "who.person")
     # Where nobody is fully spelt, equal rewritings are each other's evidence.
     others = judged.filter("persons <= 1").select("spelling", F.coalesce("person", F.array_join(F.array_sort("forms"), "/")).alias("person"))
-    return certain.select("spelling", F.col("forms")[0].alias("person")).unionByName(others)
+    return certain.select("spelling", "person").unionByName(others)
+
+
+def apart(assigned: DataFrame, detail: str) -> DataFrame:
+    """`assigned` (``person``, `detail`, ...) with the persons told apart by a detail of which their spellings have
+    several: those without it are left out there. Elsewhere it becomes the detail of all of a person's spellings.
+
+    Details one slip apart (a letter left out, put in, replaced or moved) are the one that more spellings have; initials
+    are too short for slips.
+    """
+    told = assigned.filter(F.col(detail).isNotNull()).groupBy("person", F.col(detail).alias("own")).agg(F.count(F.lit(1)).alias("n"))
+    spread = told.select("person", "own", "n", F.explode(F.when(F.length("own") > 3, _left_out("own")).otherwise(F.array("own"))).alias("form"))
+    best = spread.groupBy("person", "form").agg(F.max(F.struct("n", "own")).alias("top"))
+    meant = spread.join(best, ["person", "form"]).groupBy("person", "own").agg(F.max("top")["own"].alias("meant"))
+    span = meant.groupBy("person").agg(F.min("meant").alias("low"), F.max("meant").alias("high"))
+    both = assigned.join(span, "person", "left").join(meant.withColumnRenamed("own", detail), ["person", detail], "left")
+    several = F.coalesce(F.col("low") != F.col("high"), F.lit(False))
+    kept = both.filter(~several | F.col("meant").isNotNull()).withColumn(detail, F.coalesce("meant", "low"))
+    return kept.withColumn("person", F.when(several, F.concat_ws("&", "person", detail)).otherwise(F.col("person"))).drop("low", "high", "meant")
 
 
 def variant_pairs(assigned: DataFrame) -> DataFrame:
-    """``player_a, player_b``: each two different spellings of one person, in code point order."""
-    a, b = assigned.select("person", F.col("spelling").alias("player_a")), assigned.select("person", F.col("spelling").alias("player_b"))
-    return a.join(b, "person").filter("player_a < player_b").select("player_a", "player_b")
+    """``player_a, player_b``: each two different spellings of one person, in code point order.
+
+    A person with more than PIECE spellings is paired in as many pieces as it takes, so no task has all of its pairs.
+    `assigned` is read more than once: pass a table or a checkpoint.
+    """
+    large = assigned.groupBy("person").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")).filter("pieces > 1")
+    cut = assigned.join(large, "person", "left").select("person", "spelling", F.coalesce("pieces", F.lit(1)).alias("pieces"))
+    a = cut.select("person", F.pmod(F.xxhash64("spelling"), F.col("pieces")).cast("int").alias("piece"), F.col("spelling").alias("player_a"))
+    b = cut.select("person", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("spelling").alias("player_b"))
+    return a.join(b, ["person", "piece"]).filter("player_a < player_b").select("player_a", "player_b")

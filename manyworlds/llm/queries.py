@@ -16,7 +16,7 @@ def _persons(spark: SparkSession, root: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Each two different spellings of one player."""
-    return names.variant_pairs(_persons(spark, root))
+    return names.variant_pairs(checkpoint(_persons(spark, root)))
 
 
 def p1_players(spark: SparkSession, root: str) -> DataFrame:

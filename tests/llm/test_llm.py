@@ -290,6 +290,35 @@ def test_slips_of_short_surnames_need_the_given_name_and_a_far_commoner_word(spa
     assert len({person[t] for t in common}) == len(common)
 
 
+def persons_of(spark, texts):
+    return {r["spelling"]: r["person"] for r in names.linked(spark.createDataFrame([(t,) for t in texts], "spelling string")).collect()}
+
+
+def test_second_surnames_and_middle_initials_tell_persons_apart(spark):
+    known = [f"{g} {s}" for g in ("Maria", "John", "Laura") for s in ("Wanutosek", "Pokiduvar", "Fegalonit", "Xurimabos")]
+    texts = [*known, "Maria Garcia Lopez", "Garcia Lopez, Maria", "Maria Garcia Lpoez", "M. Garcia Lopez", "Maria Garcia Marquez", "Maria Garcia", "John A. Smith", "Smith, John A", "John B. Smith", "John Smith", "Laura C. Kelavosun", "Laura Kelavosun", "L. Kelavosun"]
+    person = persons_of(spark, texts)
+    assert person["Maria Garcia Lopez"] == person["Garcia Lopez, Maria"] == person["Maria Garcia Lpoez"] == person["M. Garcia Lopez"] != person["Maria Garcia Marquez"]
+    assert person["John A. Smith"] == person["Smith, John A"] != person["John B. Smith"]
+    assert "Maria Garcia" not in person and "John Smith" not in person  # of several, so of nobody in particular
+    assert person["Laura C. Kelavosun"] == person["Laura Kelavosun"] == person["L. Kelavosun"]
+
+
+def test_organisations_under_their_legal_forms(spark):
+    assert names.organisation("The Acme Widgets Co., Ltd.") == ("acmecowidgets", "limited") and names.organisation("Ltd") is None and names.organisation("Jane Acme") is None
+    texts = ["Acme Widgets Ltd", "ACME Widgets Limited", "Widgets, Acme Ltd.", "Acme Widgets GmbH", "Tolvane Inc.", "Tolvane, Incorporated", "Tolvane", "John Tolvanes", "Bell & Hart & Co.", "Hart and Bell and Company"]
+    person = persons_of(spark, texts)
+    assert person["Acme Widgets Ltd"] == person["ACME Widgets Limited"] == person["Widgets, Acme Ltd."] != person["Acme Widgets GmbH"]
+    assert person["Tolvane Inc."] == person["Tolvane, Incorporated"] and person["Bell & Hart & Co."] == person["Hart and Bell and Company"]
+
+
+def test_many_spellings_of_one_person_are_paired_in_pieces(spark):
+    texts = [f"spelling {i}" for i in range(names.PIECE + 40)]
+    got = names.variant_pairs(spark.createDataFrame([("p", t) for t in texts] + [("q", "a"), ("q", "b"), ("r", "c")], "person string, spelling string"))
+    pairs = [(r["player_a"], r["player_b"]) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) == len(texts) * (len(texts) - 1) // 2 + 1
+
+
 def test_rare_given_names_count_in_large_data_too(spark):
     many = F.translate(F.substring(F.hex(F.xxhash64("id")), 1, 12), "0123456789ABCDEF", "bcdfghjklmnpqrst")
     rare = ["Ulfrida Wanutosek", "Ulfrida Pokiduvar", "Ulfrida Fegalonit", "Wanutosek Ulfrida", "Pokiduvar, Ulfirda"]
