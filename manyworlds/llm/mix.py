@@ -16,8 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from manyworlds.plans.runtime import checkpoint
+from manyworlds.plans.runtime import bounded, checkpoint
 
+#: Targeted sources there may be.
+MOST_SOURCES = 100_000
 #: Rows that one slice of a source, or of the finish times, holds on average.
 SLICE_ROWS = 20_000
 
@@ -57,7 +59,7 @@ def mixture(sized: DataFrame, targets: DataFrame, *, budget: int | None = None,
     wanted = targets.filter("source is not null and target_share > 0 and max_repeats > 0").select("source", F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("repeats"))
     totals = sized.groupBy("source").agg(F.sum("tokens").alias("total"), F.max("tokens").alias("longest"), F.count(F.lit(1)).alias("docs")).join(wanted, "source").filter("total > 0")
     # One row per targeted source: as many as the bounded table of targets has.
-    plan = [r.asDict() for r in totals.collect()]
+    plan = [r.asDict() for r in bounded(totals, MOST_SOURCES)]
     if not plan:
         return sized.limit(0).select("doc_id", "source", F.lit(1).alias("pass"), "tokens", F.lit(0.0).alias("finish"))
     limit = int(min(r["repeats"] * r["total"] / r["share"] for r in plan)) if budget is None else budget
@@ -76,8 +78,12 @@ def mixture(sized: DataFrame, targets: DataFrame, *, budget: int | None = None,
     # A pass is a source's pieces pass 1 slice 0, 1, ..., pass 2 slice 0, ...: small sums, one row per slice.
     sums = queued.groupBy("source", "pass", "slice").agg(F.sum("tokens").alias("n"))
     before = sums.select("source", "pass", "slice", (F.sum("n").over(Window.partitionBy("source").orderBy("pass", "slice")) - F.col("n")).alias("before"))
+    # Slices that begin beyond the end are dropped before their rows are moved and sorted: of a source with much more
+    # than its share most are.
+    begins = before.join(rule.select("source", F.col("share").alias("part")), "source").filter(F.col("before") / F.col("part") <= end).drop("part")
     inner = Window.partitionBy("source", "pass", "slice").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    timed = queued.withColumn("inside", F.sum("tokens").over(inner)).join(before, ["source", "pass", "slice"])
+    few = sum(r["passes"] * r["slices"] for r in plan) <= MOST_SOURCES
+    timed = queued.join(F.broadcast(begins) if few else begins, ["source", "pass", "slice"]).withColumn("inside", F.sum("tokens").over(inner))
     timed = timed.select("doc_id", "source", "pass", "tokens", "key", ((F.col("before") + F.col("inside")) / F.col("share")).alias("finish"))
     # The order of finish times is cut where the running total passes the budget: sums per slice of time, and an order
     # only inside the slice with the cut. While sources last, even slices of time hold about as many documents each.

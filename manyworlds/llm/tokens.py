@@ -7,6 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("MANYWORLDS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The pre-tokenizer of that vocabulary (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters tokenized at once. Longer texts are cut before white space that follows other text, where tokens end anyway.
+_PRETOKEN = regex.compile(PATTERN)
+#: Characters tokenized at once. Longer texts are cut where the pre-tokenizer cuts them anyway.
 PIECE = 100_000
 
 
@@ -27,21 +29,20 @@ def encoder(path: str = VOCABULARY) -> tiktoken.Encoding:
 
 
 def token_count(encoding: tiktoken.Encoding, text: str) -> int:
-    """Tokens of a text; strings of special tokens are ordinary text. Very long texts are counted in pieces."""
+    """Tokens of a text; strings of special tokens are ordinary text. Very long texts are counted in pieces between
+    pre-tokens, which no token spans; a pre-token longer than a piece is counted by itself."""
     if len(text) <= PIECE:
         return len(encoding.encode_ordinary(text))
-    total, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + PIECE)
-        if end < len(text):
-            # A blank after a letter or digit begins a token (unless more blanks follow), so a cut there changes nothing.
-            cut = end
-            while cut > at + 1 and not (text[cut] == " " and text[cut - 1].isalnum() and cut + 1 < len(text) and text[cut + 1].isalnum()):
-                cut -= 1
-            end = cut if cut > at + 1 else end
-        total += len(encoding.encode_ordinary(text[at:end]))
-        at = end
-    return total
+    total, start, end = 0, 0, 0
+    for m in _PRETOKEN.finditer(text):
+        if m.end() - start > PIECE:
+            total += len(encoding.encode_ordinary(text[start:end]))
+            start = end
+            if m.end() - start > PIECE:
+                total += len(encoding._encode_single_piece(m[0].encode("utf-8", "replace")))  # noqa: SLF001  ordinary encoding would search it for pre-tokens again
+                start = m.end()
+        end = m.end()
+    return total + len(encoding.encode_ordinary(text[start:]))
 
 
 def sized(documents: DataFrame, doc_id: str, text: str, keep: list[str], path: str = VOCABULARY) -> DataFrame:

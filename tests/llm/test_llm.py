@@ -199,6 +199,11 @@ def test_token_counts(spark):
     enc = tokens.encoder()
     long = "the quick brown fox jumps " * 30_000
     assert tokens.token_count(enc, long) == len(enc.encode_ordinary(long))
+    rng = random.Random(12)
+    for text in (base64.b64encode(rng.randbytes(150_000)).decode(), "".join(rng.choices("ab \n\t1'.é", k=220_000)), "x y  " * 50_000, ("ab" * 60 + "\n") * 2000):
+        assert tokens.token_count(enc, text) == len(enc.encode_ordinary(text))
+    run = "".join(rng.choices("abcdefgh", k=130_000))
+    assert tokens.token_count(enc, "one " + run + " two") == len(enc.encode_ordinary("one")) + len(enc._encode_single_piece(" " + run)) + len(enc.encode_ordinary(" two"))
     df = spark.createDataFrame([(1, "hello world", "s"), (2, None, None), (3, "", "s"), (None, "x", "s")], "doc_id int, text string, source string").withColumn("tokens", F.lit(9))
     assert rows(tokens.sized(df, "doc_id", "text", ["source"])) == [(1, "s", 2), (2, None, 0), (3, "s", 0)]
 
