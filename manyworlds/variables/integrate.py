@@ -8,16 +8,18 @@ where there is one, by rejection otherwise. Values depend on the seed and the va
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from manyworlds.plans.runtime import checkpoint
 from manyworlds.variables.distributions import DISTRIBUTIONS, draws, generator
-from manyworlds.variables.symbols import ATOMS, EQN, _node, such_that
+from manyworlds.variables.symbols import ATOM, ATOMS, EQN, _node, such_that
 
 SAMPLES = 1000
 #: Rejection gives up after this many tries.
@@ -237,14 +239,41 @@ def world_values(nodes, atoms, seed: int, n: int) -> tuple[np.ndarray, np.ndarra
 # --- columns ------------------------------------------------------------------------------------------------------
 
 
+def _one_interval(atoms: Column) -> tuple[Column, Column]:
+    """Whether the constraints are all comparisons of one uniform or exponential variable with constants, and then their
+    probability: a difference of two values of the distribution function, without leaving the JVM."""
+    first = F.get(atoms, F.lit(0))
+    one = lambda e: F.get(e, F.lit(0))
+    var = F.when(one(first["l"])["op"] == "v", one(first["l"])).otherwise(one(first["r"]))
+    same = lambda n: (n["op"] == "v") & (n["id"] == var["id"]) & (n["sub"] == var["sub"])
+    number = lambda n: n["op"] == "c"
+    above = lambda a: same(one(a["l"])) & number(one(a["r"]))
+    below = lambda a: number(one(a["l"])) & same(one(a["r"]))
+    simple = (F.size(atoms) > 0) & var["dist"].isin("uniform", "exponential") & F.forall(atoms, lambda a: (F.size(a["l"]) == 1) & (F.size(a["r"]) == 1) & (above(a) | below(a)))
+    low = F.array_max(F.transform(F.filter(atoms, above), lambda a: one(a["r"])["c"]))
+    high = F.array_min(F.transform(F.filter(atoms, below), lambda a: one(a["l"])["c"]))
+    p0, p1 = F.get(var["params"], F.lit(0)), F.get(var["params"], F.lit(1))
+
+    def cdf(x: Column, at_infinity: float) -> Column:
+        uniform = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - p0) / (p1 - p0)))
+        return F.when(x.isNull(), F.lit(at_infinity)).when(var["dist"] == "uniform", uniform).when(x > 0, 1 - F.exp(-p0 * x)).otherwise(F.lit(0.0))
+
+    return F.coalesce(simple, F.lit(False)), F.greatest(F.lit(0.0), cdf(high, 1.0) - cdf(low, 0.0))
+
+
 def conf_one(atoms: str | Column = ATOMS, samples: int = SAMPLES, seed: int = 0, exact: bool = True, grouped: bool = True) -> Column:
-    """The probability of a row's constraints; `exact` and `grouped` as in :func:`clause_probability`."""
+    """The probability of a row's constraints; `exact` and `grouped` as in :func:`clause_probability`. Where the
+    constraints are an interval of one uniform or exponential variable, nothing goes to Python."""
 
     @F.pandas_udf("double")
     def probability(a: pd.Series) -> pd.Series:
-        return a.map(lambda x: clause_probability(x, seed, samples, exact, grouped))
+        return a.map(lambda x: math.nan if x is None else clause_probability(x, seed, samples, exact, grouped))
 
-    return probability(atoms)
+    given = F.coalesce(F.col(atoms) if isinstance(atoms, str) else atoms, F.array().cast(f"array<{ATOM}>"))
+    if not exact:
+        return probability(given)
+    simple, closed = _one_interval(given)
+    return F.when(simple, closed).otherwise(probability(F.when(~simple, given)))
 
 
 def expectation(eqn: str | Column, atoms: str | Column = ATOMS, samples: int = SAMPLES, seed: int = 0) -> Column:
@@ -278,10 +307,38 @@ def row_worlds(eqn: str | Column, atoms: str | Column = ATOMS, samples: int = SA
 
 def per_world(df: DataFrame, eqn: str | Column, by: Sequence[str], how: str, samples: int = SAMPLES, seed: int = 0, atoms: str | Column = ATOMS) -> DataFrame:
     """Per group and world the sum, max or count of the rows that exist there: ``world, value``. Worlds with no row
-    have 0. Rows are spread over worlds, so the aggregation combines on the map side whatever a group's size."""
-    spread = df.select(*by, F.posexplode(row_worlds(eqn, atoms, samples, seed)).alias("world", "v"))
-    agg = {"sum": F.sum("v"), "max": F.max("v"), "count": F.count("v")}[how]
-    return spread.groupBy(*by, "world").agg(F.coalesce(agg.cast("double"), F.lit(0.0)).alias("value"))
+    have 0. The rows of a group are combined batch by batch as vectors over the worlds; only these vectors are spread
+    over worlds, where the aggregation combines on the map side whatever a group's size."""
+    value = F.col(eqn) if isinstance(eqn, str) else eqn
+    ready = df.select(*by, value.alias("_e"), (F.col(atoms) if isinstance(atoms, str) else atoms).alias("_a"), F.to_json(F.struct(*by) if by else F.struct(F.lit(1)), {"ignoreNullFields": "false"}).alias("_g"))
+    start = {"sum": 0.0, "max": -np.inf, "count": 0.0}[how]
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column("_g").dictionary_encode()
+            number = np.asarray(group.indices)
+            size = len(group.dictionary)
+            total, seen = np.full((size, samples), start), np.zeros((size, samples), np.int64)
+            for k, x, y in zip(number, batch.column("_e").to_pylist(), batch.column("_a").to_pylist()):
+                got, there = world_values(x, y, seed, samples)
+                seen[k] += there
+                if how == "sum":
+                    total[k] += np.where(there, got, 0.0)
+                elif how == "max":
+                    np.maximum(total[k], got, out=total[k], where=there)
+            first = pa.array(np.unique(number, return_index=True)[1])
+            keys = [batch.column(c).take(first) for c in by]
+            at = pa.array(np.arange(size + 1, dtype=np.int32) * samples)
+            lists = [pa.ListArray.from_arrays(at, pa.array(x.ravel())) for x in (total, seen)]
+            yield pa.RecordBatch.from_arrays([*keys, *lists], names=[*by, "_total", "_seen"])
+
+    kinds = StructType([*(df.select(*by).schema.fields if by else []), StructField("_total", ArrayType(DoubleType())), StructField("_seen", ArrayType(LongType()))])
+    spread = ready.mapInArrow(combine, kinds).select(*by, F.posexplode(F.arrays_zip("_total", "_seen")).alias("world", "v"))
+    seen = F.sum("v._seen")
+    value = {"sum": F.sum("v._total"), "max": F.max("v._total"), "count": seen.cast("double")}[how]
+    return spread.groupBy(*by, "world").agg(F.when(seen > 0, value).otherwise(F.lit(0.0)).alias("value"))
 
 
 def expectation_hist(df: DataFrame, eqn: str | Column, by: Sequence[str], how: str = "sum", samples: int = SAMPLES, seed: int = 0, name: str = "samples") -> DataFrame:
@@ -447,6 +504,11 @@ def sample_set(atoms: str | Column, eqn: str | Column, samples: int = SAMPLES, s
     return generate(eqn, atoms)
 
 
+def sample_set_explode(df: DataFrame, samples: str, name: str = "value", index: str = "world") -> DataFrame:
+    """One row per value of a sample set, numbered; rows with an empty or null set have none."""
+    return df.select(*(c for c in df.columns if c != samples), F.posexplode(samples).alias(index, name))
+
+
 def sample_set_expect(samples: str | Column) -> Column:
     """The mean of a sample set; null for an empty one."""
     s = F.col(samples) if isinstance(samples, str) else samples

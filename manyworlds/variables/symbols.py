@@ -8,6 +8,7 @@ with constraints keeps them in an array column: a row exists where all of them h
 from __future__ import annotations
 
 import itertools
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -100,14 +101,19 @@ def lt(a: Value, b: Value) -> Column:
     return gt(b, a)
 
 
+def _number(x: float) -> str:
+    """A number in as few digits as give it back."""
+    return str(int(x)) if abs(x) < 1e15 and x == int(x) else repr(float(x))
+
+
 def _text(nodes) -> str:
     stack: list[str] = []
     for n in nodes:
         op = n["op"]
         if op == "c":
-            stack.append(f"({n['c']:g})")
+            stack.append(f"({_number(n['c'])})")
         elif op == "v":
-            stack.append(f"[{n['id']}:{n['sub']}=>{n['dist']}({','.join(f'{p:g}' for p in n['params'])})]")
+            stack.append(f"[{n['id']}:{n['sub']}=>{n['dist']}({','.join(map(_number, n['params']))})]")
         elif op == "-":
             stack.append(f"-{stack.pop()}")
         elif op == "?":
@@ -129,6 +135,41 @@ def to_text(eqn: str | Column) -> Column:
     return text(eqn)
 
 
+_TOKEN = re.compile(r"\((?P<c>[^()]*)\)|\[(?P<id>-?\d+):(?P<sub>-?\d+)=>(?P<dist>\w+)\((?P<params>[^()]*)\)\]|(?P<op>[-+*|>])")
+
+
+def _nodes(text: str) -> list[dict]:
+    """The nodes of a prefix text, in postfix order: read from its end, operands are found before their operator."""
+    found, tokens = [], list(_TOKEN.finditer(text))
+    if "".join(t[0] for t in tokens) != text.strip():
+        raise ValueError(f"not an expression: {text}")
+    node = lambda op, c=0.0, dist="", ident=0, sub=0, params=(): {"op": op, "c": c, "dist": dist, "id": ident, "sub": sub, "params": list(params)}
+    for t in reversed(tokens):
+        if t["c"] is not None:
+            found.append([node("c", float(t["c"]))])
+        elif t["id"] is not None:
+            found.append([node("v", 0.0, t["dist"], int(t["id"]), int(t["sub"]), [float(p) for p in t["params"].split(",") if p])])
+        elif t["op"] != ">":  # a comparison's mark; the bar before its value says what it is
+            few = {"-": 1, "|": 3}.get(t["op"], 2)
+            if len(found) < few:
+                raise ValueError(f"not an expression: {text}")
+            operands = [found.pop() for _ in range(few)]
+            found.append([n for o in operands for n in o] + [node("?" if t["op"] == "|" else t["op"])])
+    if len(found) != 1:
+        raise ValueError(f"not an expression: {text}")
+    return found[0]
+
+
+def from_text(text: str | Column) -> Column:
+    """Expressions from their prefix text, the inverse of :func:`to_text`; null for null. Another text is an error."""
+
+    @F.pandas_udf(EQN)
+    def parsed(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else _nodes(x))
+
+    return parsed(text)
+
+
 class CTable:
     """A table whose rows exist where their constraints hold."""
 

@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from manyworlds.variables import CTable, add, const, gt, lt, mul, neg, rv, structurally_equal, sub, subscript, to_text
+from manyworlds.variables import CTable, add, const, from_text, gt, lt, mul, neg, rv, structurally_equal, sub, subscript, to_text
 from manyworlds.variables import integrate as I
 
 
@@ -111,3 +111,25 @@ def test_joins_keep_constraints(table):
     both = a.join(table.where(gt(F.col("e"), 1)).select("k", "e"), "k")
     assert column(both, I.conf_one())[0] == pytest.approx(0.5 * math.exp(-2))
     assert a.union_all(a).df.count() == 6 and a.where(F.col("k") > 1).df.count() == 2
+
+
+def test_text_is_read_back(table):
+    table, x = table.df, F.col("n")
+    e = sub(mul(add(x, 0.1), const(-3.0)), neg(subscript(x, 2)))
+    out = table.withColumn("e", e).withColumn("t", to_text("e")).withColumn("again", from_text("t"))
+    assert all(r[0] for r in out.select(structurally_equal(F.col("e"), F.col("again"))).collect())
+    guarded = table.withColumn("e", I.such_that(add(x, 1), F.array(gt(x, 2)))).withColumn("again", from_text(to_text("e")))
+    assert all(r[0] for r in guarded.select(structurally_equal(F.col("e"), F.col("again"))).collect())
+    for bad in ("(1", "+(1)", "(1)(2)", "hello"):
+        with pytest.raises(Exception, match="not an expression"):
+            table.limit(1).select(from_text(F.lit(bad))).collect()
+
+
+def test_one_interval_needs_no_python(spark):
+    df = spark.createDataFrame([(2.0,)], "a double")
+    u, e = rv("uniform", 0, 4, salt="u"), rv("exponential", 2, salt="e")
+    cases = [(u, [gt(u, 1)], 0.75), (u, [lt(u, 1)], 0.25), (u, [gt(u, 1), lt(u, 3), gt(u, 2)], 0.25), (u, [gt(u, 5)], 0.0), (u, [gt(u, 3), lt(u, 1)], 0.0), (u, [gt(u, -1)], 1.0), (e, [gt(e, 1)], 0.135335), (e, [lt(e, -1)], 0.0), (e, [lt(2, e), lt(e, 3)], 0.015837)]
+    got = df.select(*(F.round(I.conf_one(F.array(*atoms)), 6) for _, atoms, _ in cases)).first()
+    assert list(got) == [p for *_, p in cases]
+    slow = df.select(*(F.round(I.conf_one(F.array(*atoms), exact=True, grouped=False), 6) for _, atoms, _ in cases)).first()
+    assert list(slow) == list(got)
