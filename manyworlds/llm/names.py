@@ -401,8 +401,9 @@ def linked(names: DataFrame) -> DataFrame:
     key = lambda part: F.concat_ws("|", part, F.col("root"), F.col("suffix"))
     full = F.transform("given", lambda g: key(F.concat(F.lit("g:"), g)))
     form = F.when(F.size("given") > 0, full).when(F.col("initial") != "", F.array(key(F.concat(F.lit("i:"), F.col("initial"))))).otherwise(F.array(key(F.lit("*"))))
-    spelt = placed.select("spelling", "root", "given", "initial", "suffix", "second", "middle", form.alias("forms"))
-    certain = apart(apart(spelt.filter(F.size("given") == 1).withColumn("person", F.col("forms")[0]), "second"), "middle")
+    spelt = checkpoint(placed.select("spelling", "root", "given", "initial", "suffix", "second", "middle", form.alias("forms")))
+    certain = checkpoint(apart(spelt.filter(F.size("given") == 1).withColumn("person", F.col("forms")[0]), "second"))
+    certain = checkpoint(apart(certain, "middle"))
     # Whom fully spelt names stand for, and how many persons share each of their rewritings: with the given name, its
     # initial and neither, each with and without the second surname; an organisation also without its legal form.
     persons = certain.select("person", "root", "suffix", "second", F.col("given")[0].alias("g")).distinct()
@@ -427,7 +428,7 @@ def apart(assigned: DataFrame, detail: str) -> DataFrame:
     several: those without it are left out there. Elsewhere it becomes the detail of all of a person's spellings.
 
     Details one slip apart (a letter left out, put in, replaced or moved) are the one that more spellings have; initials
-    are too short for slips.
+    are too short for slips. `assigned` is read more than once: pass a table or a checkpoint.
     """
     told = assigned.filter(F.col(detail).isNotNull()).groupBy("person", F.col(detail).alias("own")).agg(F.count(F.lit(1)).alias("n"))
     spread = told.select("person", "own", "n", F.explode(F.when(F.length("own") > 3, _left_out("own")).otherwise(F.array("own"))).alias("form"))
