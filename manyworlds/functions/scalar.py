@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 C = Column | str
@@ -234,6 +234,40 @@ def ts_count(vector: Column, *terms: str) -> Column:
     return F.size(F.filter(vector, lambda x: x["term"].isin(*terms)))
 
 
+def ts_phrase(vector: Column, *terms: str) -> Column:
+    """Whether some words follow each other in a text."""
+
+    def follows(start: Column, k: int, term: str) -> Column:
+        return F.exists(vector, lambda y: (y["term"] == term) & (y["pos"] == start["pos"] + k))
+
+    def begins(x: Column) -> Column:
+        found = x["term"] == terms[0]
+        for k, term in enumerate(terms[1:], 1):
+            found &= follows(x, k, term)
+        return found
+
+    return F.exists(vector, begins)
+
+
+def ts_strip(vector: Column) -> Column:
+    """The words of a text without their places, each once."""
+    return F.array_sort(F.array_distinct(F.transform(vector, lambda x: x["term"])))
+
+
+def ts_headline(text: C, *terms: str, start: str = "<b>", stop: str = "</b>") -> Column:
+    """A text with some words marked."""
+    words = "|".join(re.escape(t) for t in terms)
+    return F.regexp_replace(_c(text), rf"(?i)(?<![\p{{L}}\p{{N}}_])({words})(?![\p{{L}}\p{{N}}_])", f"{start}$1{stop}")
+
+
+def ts_stat(df: DataFrame, vector: str) -> DataFrame:
+    """Per word of all texts: in how many texts it is, and how often (``word, ndoc, nentry``)."""
+    v = F.col(vector)
+    # A vector is sorted by word, so a word's first place in a text is where another stands before it.
+    marked = F.transform(v, lambda x, i: F.struct(x["term"].alias("word"), ((i == 0) | (F.get(v, i - 1)["term"] != x["term"])).alias("first")))
+    return df.select(F.explode(marked).alias("x")).groupBy("x.word").agg(F.count_if("x.first").alias("ndoc"), F.count(F.lit(1)).alias("nentry"))
+
+
 # --- places, networks, trees, markup ----------------------------------------------------------------------------------
 
 
@@ -258,6 +292,38 @@ def inet_within(address: C, network: str) -> Column:
     return (inet_number(address) >= F.lit(number)) & (inet_number(address) < F.lit(number + size))
 
 
+def inet_text(number: C) -> Column:
+    """A number as an IPv4 address."""
+    n = _c(number)
+    return F.concat_ws(".", *(F.pmod(F.shiftright(n, 8 * i), F.lit(256)).cast("string") for i in (3, 2, 1, 0)))
+
+
+def inet_bounds(network: C) -> tuple[Column, Column]:
+    """The first and the last address of an IPv4 network such as 10.1.2.3/20 (alone: of itself)."""
+    bits = F.when(F.contains(_c(network), F.lit("/")), F.split_part(_c(network), F.lit("/"), F.lit(2)).try_cast("int")).otherwise(F.lit(32))
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), 32 - bits)
+    low = inet_number(network) - F.pmod(inet_number(network), size)
+    return inet_text(low), inet_text(low + size - 1)
+
+
+def label_level(path: C) -> Column:
+    """How many labels a dotted path has."""
+    return F.when(_c(path) == "", F.lit(0)).otherwise(F.size(F.split(_c(path), r"\.")))
+
+
+def label_subpath(path: C, start: int, length: int) -> Column:
+    """Some labels of a path, counted from 0."""
+    return F.array_join(F.slice(F.split(_c(path), r"\."), start + 1, length), ".")
+
+
+def label_common(a: C, b: C) -> Column:
+    """The longest path that leads to both, themselves left out."""
+    x, y = F.split(_c(a), r"\."), F.split(_c(b), r"\.")
+    most = F.greatest(F.least(F.size(x), F.size(y)) - 1, F.lit(0))
+    equal = F.filter(F.transform(F.sequence(F.lit(0), most), lambda n: n), lambda n: F.slice(x, F.lit(1), n) == F.slice(y, F.lit(1), n))
+    return F.array_join(F.slice(x, F.lit(1), F.array_max(equal)), ".")
+
+
 def is_ancestor(label: C, of: C) -> Column:
     """Whether a dotted label path is the other or leads to it."""
     return (_c(of) == _c(label)) | F.startswith(_c(of), F.concat(_c(label), F.lit(".")))
@@ -275,6 +341,11 @@ def xml_element(name: str, content: Column, **attributes: Column) -> Column:
     return F.concat(*head, F.lit(">"), F.coalesce(escaped(content), F.lit("")), F.lit(f"</{name}>"))
 
 
+def xml_forest(**elements: Column) -> Column:
+    """One element per value that isn't null, one after the other."""
+    return F.concat(*(F.when(v.isNotNull(), xml_element(k, v)).otherwise(F.lit("")) for k, v in elements.items()))
+
+
 def xml_agg(element: Column, order: Column) -> Column:
     """A group's elements one after the other: an aggregate."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), element.alias("e")))), lambda x: x["e"]), "")

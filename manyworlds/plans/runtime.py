@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -10,11 +12,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _own_folder(prefix: str) -> str:
+    """A temporary folder that goes when the driver's Python does."""
+    path = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of `df` through a reliable checkpoint.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset (a local
-    test session) is a temporary folder used, because a machine-local folder would be lost with its executor.
+    test session) is a temporary folder used, because a machine-local folder would be lost with its executor; it is
+    removed at the end. In the shared folder ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes what no table
+    refers to any more.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -23,7 +34,7 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
         if named:
             sc.setCheckpointDir(named)
         elif sc.master.startswith("local[") or sc.master == "local":
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="manyworlds-ckpt-"))
+            sc.setCheckpointDir(_own_folder("manyworlds-ckpt-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return df.checkpoint(eager)
@@ -38,7 +49,7 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="manyworlds-code-")) / "manyworlds.zip"
+    archive = Path(_own_folder("manyworlds-code-")) / "manyworlds.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for source in sorted(root.rglob("*.py")):
             out.write(source, source.relative_to(root.parent))

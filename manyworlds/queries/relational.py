@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from manyworlds.functions import formats as X
 from manyworlds.functions import scalar as S
 from manyworlds.operators import relational as R
 from manyworlds.sources import generate_series, table, values
@@ -20,6 +21,8 @@ SAME = {
     "scan_project_filter": "select o_orderkey, o_totalprice * 2 as double_price from orders where o_orderpriority = '1-URGENT' and o_totalprice between 1000 and 200000",
     "filter_case_coalesce": "select c_custkey, case when c_acctbal < 0 then 'debt' when c_acctbal < 5000 then 'some' else 'much' end as class, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') as segment from customer",
     "filter_like_in": "select p_partkey, p_name from part where p_brand in ('Brand#1', 'Brand#12', 'Brand#20') and p_type like '%A%' and p_name not like 'x%'",
+    "filter_ilike_escape": "select p_partkey from part where p_type ilike '%A%' and not p_name ilike 'X%' and p_brand like 'Brand#_%' and not p_name like '%!%%' escape '!'",
+    "string_layout": "select p_partkey, bit_length(p_name) as bits, rpad(p_brand, 12, ' ') as fixed, lower(hex(p_size)) as hexed, left(p_name, 3) || right(p_name, 2) as ends, reverse(p_brand) as turned, repeat('ab', 2) as twice from part",
     "filter_distinct_from": "select n_nationkey from nation where (n_regionkey is distinct from 1) is true and n_name is not null",
     "filter_row_comparison": "select n_nationkey from nation where (n_regionkey, n_nationkey) > (2, 10)",
     "subquery_in": "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)",
@@ -79,11 +82,6 @@ def distinct_on_latest_order(spark: SparkSession, root: str) -> DataFrame:
     return R.distinct_on(table(spark, root, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], descending=True).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-def order_nulls_last(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "performance").select("perf_id", "points")
-    return rows.orderBy(*R.nulls_last("points", "perf_id")).limit(25)
-
-
 def order_nulls_last_places(spark: SparkSession, root: str) -> DataFrame:
     """All rows in that order, each with its place; the null points have the last ones."""
     rows = table(spark, root, "performance").select("perf_id", "points")
@@ -239,15 +237,72 @@ def table_function(spark: SparkSession, root: str) -> DataFrame:
     return spark.sql("select r_regionkey, l.letter, l.n from region, lateral mw_letters(r_name) l")
 
 
-_OWN = (encoding_functions, format_functions, regex_functions, sql_function, python_aggregate, table_function, distinct_on_latest_order, order_nulls_last, order_nulls_last_places, crosstab_pivot, connect_by_tree, generate_series_step, values_list, upsert_rows, prepared_statement, regex_similar, quoting_functions, fuzzy_matching, date_parts, number_functions, array_functions, map_functions, text_search, delimited_text, array_aggregate, xml_functions, network_functions, geo_functions, tree_labels)
+def quantified_comparison(spark: SparkSession, root: str) -> DataFrame:
+    """Comparison with all, and with any, rows of a sub-query: as there is none, or one, for which it fails or holds."""
+    for t in ("part", "customer", "orders"):
+        table(spark, root, t).createOrReplaceTempView(t)
+    every = spark.sql("select p_partkey as k, 'all' as kind from part p where not exists (select 1 from part q where q.p_brand = 'Brand#3' and not coalesce(p.p_retailprice >= q.p_retailprice, false))")
+    some = spark.sql("select c_custkey as k, 'any' as kind from customer where c_custkey in (select o_custkey from orders where o_totalprice > 400000)")
+    return every.unionByName(some)
+
+
+def template_formats(spark: SparkSession, root: str) -> DataFrame:
+    o = table(spark, root, "orders")
+    return o.select("o_orderkey", X.to_char("o_orderdate", "Dy, DD Mon YYYY HH24:MI").alias("t"), X.to_char("o_orderdate", 'FMDD.FMMM "in" Q').alias("q"), X.to_timestamp(X.to_char("o_orderdate", "YYYYMMDD HH24:MI:SS"), "YYYYMMDD HH24:MI:SS").alias("back"), X.number_to_char("o_totalprice", "9,999,990.00").alias("price"), X.to_number(X.number_to_char(-F.col("o_totalprice"), "9,999,990.00"), 2).cast("double").alias("number"))
+
+
+def interval_functions(spark: SparkSession, root: str) -> DataFrame:
+    o = table(spark, root, "orders")
+    iv = X.justify_days(X.justify_hours(X.interval(1, F.col("o_orderkey") % 100, (F.col("o_orderkey") % 1000) * 3_600_000_000)))
+    return o.select("o_orderkey", iv["months"].alias("months"), iv["days"].alias("days"), (iv["micros"] / 3_600_000_000).cast("bigint").alias("hours"), X.plus_interval("o_orderdate", X.interval(1, 3, 7_200_000_000)).alias("later"), X.at_time_zone("o_orderdate", "Asia/Kolkata").cast("string").alias("there"))
+
+
+def bit_strings(spark: SparkSession, root: str) -> DataFrame:
+    s = table(spark, root, "supplier").select("s_suppkey", F.lpad(F.bin(F.col("s_suppkey") % 1024), 10, "0").alias("b"))
+    mask = F.lit("0110011010")
+    return s.select("s_suppkey", *(X.bits_op("b", mask, k).alias(f"b_{k}") for k in ("and", "or", "xor")), X.bits_not("b").alias("b_not"), X.bits_shift("b", 3).alias("b_left"), X.bits_shift("b", -2).alias("b_right"), X.bits_count("b").alias("ones"), X.bits_number("b").alias("n"))
+
+
+def keyed_hashes(spark: SparkSession, root: str) -> DataFrame:
+    n = table(spark, root, "nation")
+    return n.select("n_nationkey", X.hmac_sha256("n_name", b"key").alias("mac"), X.as_uuid(F.md5("n_name")).alias("id"), X.as_uuid(F.concat(F.lit("{"), F.upper(F.md5("n_name")), F.lit("}"))).alias("again"))
+
+
+def text_search_phrases(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "eval_item").select("item_id", "text", S.to_tsvector("text").alias("v"))
+    return docs.select("item_id", S.ts_phrase(F.col("v"), "of", "the").alias("phrase"), F.size(S.ts_strip(F.col("v"))).alias("words"), S.ts_headline("text", "the", "and").alias("marked"))
+
+
+def text_search_statistics(spark: SparkSession, root: str) -> DataFrame:
+    return S.ts_stat(table(spark, root, "eval_item").select(S.to_tsvector("text").alias("v")), "v")
+
+
+def xml_paths(spark: SparkSession, root: str) -> DataFrame:
+    n = table(spark, root, "nation").select("n_nationkey", S.xml_element("n", F.lit("")).alias("empty"), F.concat(F.lit("<r>"), S.xml_forest(name=F.col("n_name"), region=F.when(F.col("n_regionkey") > 0, F.col("n_regionkey"))), F.lit("</r>")).alias("x"))
+    return n.select("n_nationkey", "empty", "x", F.xpath_string("x", F.lit("/r/name")).alias("name"), F.xpath_int("x", F.lit("count(/r/*)")).alias("parts"))
+
+
+def network_bounds(spark: SparkSession, root: str) -> DataFrame:
+    a = generate_series(spark, 0, 300, name="i").select("i", F.concat(F.lit("10.1."), F.floor(F.col("i") / 256).cast("string"), F.lit("."), (F.col("i") % 256).cast("string"), F.lit("/26")).alias("network"))
+    low, high = S.inet_bounds("network")
+    return a.select("i", low.alias("low"), high.alias("high"))
+
+
+def tree_paths(spark: SparkSession, root: str) -> DataFrame:
+    r = table(spark, root, "region").join(table(spark, root, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", F.concat_ws(".", F.lit("world"), "r_name", "n_name").alias("path"))
+    return r.select("n_nationkey", S.label_level("path").alias("level"), S.label_subpath("path", 1, 1).alias("region"), S.label_common("path", F.lit("world.ASIA.somewhere")).alias("common"))
+
+
+_OWN = (quantified_comparison, template_formats, interval_functions, bit_strings, keyed_hashes, text_search_phrases, text_search_statistics, xml_paths, network_bounds, tree_paths, encoding_functions, format_functions, regex_functions, sql_function, python_aggregate, table_function, distinct_on_latest_order, order_nulls_last_places, crosstab_pivot, connect_by_tree, generate_series_step, values_list, upsert_rows, prepared_statement, regex_similar, quoting_functions, fuzzy_matching, date_parts, number_functions, array_functions, map_functions, text_search, delimited_text, array_aggregate, xml_functions, network_functions, geo_functions, tree_labels)
 QUERIES = {name: _spark_sql(text) for name, text in SAME.items()} | {f.__name__: f for f in _OWN}
 
 _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, cast(length(w) + 2 as bigint)), lambda i: substring('  ' || w || ' ', i, 3)))))"
 _A, _B = _TRIGRAMS.format("x.n_name"), _TRIGRAMS.format("y.n_name")
 
+_PADS = [bytes(b ^ pad for b in b"key".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
 SQL = dict(SAME) | {
     "distinct_on_latest_order": "select distinct on (o_custkey) o_custkey, o_orderkey, o_totalprice from orders order by o_custkey, o_orderdate desc, o_orderkey desc",
-    "order_nulls_last": "select perf_id, points from performance order by points nulls last, perf_id limit 25",
     "order_nulls_last_places": "select perf_id, points, row_number() over (order by points nulls last, perf_id) as place from performance",
     "crosstab_pivot": "select l_returnflag, nullif(count(*) filter (l_linestatus = 'F'), 0) as \"F\", nullif(count(*) filter (l_linestatus = 'O'), 0) as \"O\" from lineitem group by 1",
     "connect_by_tree": "with recursive t as (select cast(1 as bigint) as node, cast(null as bigint) as parent, 0 as level, '1' as branch union all select c, node, level + 1, branch || '~' || c from t join (select range // 2 as p, range as c from range(2, 41)) e on p = node) select * from t",
@@ -275,4 +330,19 @@ SQL = dict(SAME) | {
     "network_functions": "select range as i, 167772160 + range as number, range between 128 and 255 as inside from range(0, 301)",
     "geo_functions": "select i, round(2 * 6378168.0 * asin(least(1.0, sqrt(power(sin((radians(i * 10) - radians(10)) / 2), 2) + cos(radians(10)) * cos(radians(i * 10)) * power(sin(radians(i * 20 - 20) / 2), 2)))), 2) as metres from (select range - 8 as i from range(0, 17))",
     "tree_labels": "select 'world.' || r_name || '.' || n_name as path, r_name = 'ASIA' as asian, case r_name when 'AFRICA' then 1 when 'AMERICA' then 2 when 'ASIA' then 3 else 0 end as place from region join nation on r_regionkey = n_regionkey",
+    "quantified_comparison": "select p_partkey as k, 'all' as kind from part where p_retailprice >= all (select p_retailprice from part where p_brand = 'Brand#3') union all select c_custkey, 'any' from customer where c_custkey = any (select o_custkey from orders where o_totalprice > 400000)",
+    "template_formats": "select o_orderkey, strftime(o_orderdate, '%a, %d %b %Y %H:%M') as t, day(o_orderdate) || '.' || month(o_orderdate) || ' in ' || quarter(o_orderdate) as q, o_orderdate as back, lpad(format('{:,.2f}', o_totalprice), 13, ' ') as price, -round(o_totalprice, 2) as number from orders",
+    "interval_functions": """with h as (select o_orderkey, o_orderdate, o_orderkey % 100 + (o_orderkey % 1000) // 24 as d, (o_orderkey % 1000) % 24 as hours from orders)
+      select o_orderkey, 1 + d // 30 as months, d % 30 as days, hours, o_orderdate + interval 1 month + interval 3 day + interval 2 hour as later, strftime(o_orderdate + interval 330 minute, '%Y-%m-%d %H:%M:%S') as there from h""",
+    "bit_strings": """with s as (select s_suppkey, lpad(bin(s_suppkey % 1024), 10, '0') as t from supplier), b as (select s_suppkey, t::bit as b, '0110011010'::bit as m from s)
+      select s_suppkey, (b & m)::varchar as b_and, (b | m)::varchar as b_or, xor(b, m)::varchar as b_xor, (~b)::varchar as b_not, (b << 3)::varchar as b_left, (b >> 2)::varchar as b_right, cast(bit_count(b) as int) as ones, s_suppkey % 1024 as n from b""",
+    "keyed_hashes": f"""with h as (select n_nationkey, n_name, md5(n_name) as m from nation), u as (select *, substring(m, 1, 8) || '-' || substring(m, 9, 4) || '-' || substring(m, 13, 4) || '-' || substring(m, 17, 4) || '-' || substring(m, 21) as id from h)
+      select n_nationkey, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(n_name)))) as mac, id, id as again from u""",
+    "text_search_phrases": """with w as (select item_id, text, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') as v from eval_item)
+      select item_id, contains(' ' || array_to_string(v, ' ') || ' ', ' of the ') as phrase, len(list_distinct(v)) as words, regexp_replace(regexp_replace(text, '(?i)\\b(the)\\b', '<b>\\1</b>', 'g'), '(?i)\\b(and)\\b', '<b>\\1</b>', 'g') as marked from w""",
+    "text_search_statistics": """with w as (select item_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) as word from eval_item)
+      select word, count(distinct item_id) as ndoc, cast(count(*) as bigint) as nentry from w group by 1""",
+    "xml_paths": "select n_nationkey, '<n></n>' as empty, '<r><name>' || n_name || '</name>' || case when n_regionkey > 0 then '<region>' || n_regionkey || '</region>' else '' end || '</r>' as x, n_name as name, case when n_regionkey > 0 then 2 else 1 end as parts from nation",
+    "network_bounds": "select range as i, '10.1.' || range // 256 || '.' || (range % 256) // 64 * 64 as low, '10.1.' || range // 256 || '.' || ((range % 256) // 64 * 64 + 63) as high from range(0, 301)",
+    "tree_paths": "select n_nationkey, 3 as level, r_name as region, case when r_name = 'ASIA' then 'world.ASIA' else 'world' end as common from region join nation on r_regionkey = n_regionkey",
 }

@@ -264,16 +264,6 @@ def randgraph_triangle_aconf(spark: SparkSession, root: str) -> DataFrame:
     return triangles.aconf(epsilon=0.05, delta=0.05, name="p").select(r6(low, "low"), r6(high, "high"), F.col("p").between(low * 0.95, high * 1.05).alias("good"))
 
 
-@query("""with n as (select c_nationkey, c_mktsegment, count(*) as n from customer group by 1, 2), w as (select *, n / sum(n) over (partition by c_nationkey) as p from n),
-  b as (select p from w where c_nationkey = 0 and c_mktsegment = 'BUILDING')
-  select c_mktsegment, round(case when c_mktsegment = 'BUILDING' then 0 else p / (1 - coalesce((select p from b), 0)) end, 6) as p from w where c_nationkey = 0""")
-def posterior_by_segment(spark: SparkSession, root: str) -> DataFrame:
-    """A customer of nation 0, given that its segment isn't building."""
-    counts = table(spark, root, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
-    chosen = repair_key(counts, ["c_nationkey"], "n", distinct=True).where("c_nationkey = 0")
-    return posterior(chosen, chosen.where("c_mktsegment = 'BUILDING'"), "c_mktsegment", name="p").select("c_mktsegment", r6("p", "p"))
-
-
 @query("""with n as (select c_nationkey, c_mktsegment, count(*) as n from customer group by 1, 2), w as (select *, n / sum(n) over (partition by c_nationkey) as p from n),
   b as (select c_nationkey, p as b from w where c_mktsegment = 'BUILDING')
   select c_nationkey, c_mktsegment, round(case when coalesce(b, 0) > 1 - 1e-12 then null when c_mktsegment = 'BUILDING' then 0 else p / (1 - coalesce(b, 0)) end, 6) as p from w left join b using (c_nationkey)""")

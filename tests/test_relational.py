@@ -101,3 +101,26 @@ def test_entry_points(spark):
     assert all(f"p{n}_found" in entry.queries() for n in (3, 4, 6))
     with pytest.raises(KeyError):
         entry.queries()["nothing"]
+
+
+def test_templates_intervals_bits(spark):
+    from datetime import datetime
+
+    from manyworlds.functions import formats as X
+
+    t = F.lit(datetime(2024, 2, 9, 15, 4, 5)).cast("timestamp")
+    for template, text in (("YYYY-MM-DD HH24:MI:SS", "2024-02-09 15:04:05"), ("FMMonth FMDD, YYYY", "February 9, 2024"), ("Month|", "February |"), ("DY MON HH12 PM", "FRI FEB 03 PM"), ('DDD "day" Q', "040 day 1")):
+        assert one(spark, X.to_char(t, template)) == text
+    assert one(spark, X.to_timestamp(F.lit("09.02.2024 15:04"), "DD.MM.YYYY HH24:MI").cast("string")) == "2024-02-09 15:04:00" and one(spark, X.to_timestamp(F.lit("nonsense"), "YYYY")) is None
+    for x, template, text in ((1234.5, "9,999.99", " 1,234.50"), (-1234.5, "9,999.99", "-1,234.50"), (0.5, "0.99", " 0.50"), (7, "099", " 007"), (12345, "999", " ###"), (485, "999", " 485"), (None, "9", None)):
+        assert one(spark, X.number_to_char(F.lit(x).cast("double"), template)) == text
+    assert [str(one(spark, X.to_number(F.lit(x), 2))) for x in ("1,234.50-", " $12 ", "<3>", "x")] == ["-1234.50", "12.00", "-3.00", "None"]
+    iv = one(spark, X.justify_days(X.justify_hours(X.interval(0, 29, 49 * 3_600_000_000))))
+    assert (iv["months"], iv["days"], iv["micros"]) == (1, 1, 3_600_000_000)
+    back = one(spark, X.justify_hours(X.interval(0, 0, -25 * 3_600_000_000)))
+    assert (back["days"], back["micros"]) == (-1, -3_600_000_000)
+    assert one(spark, X.plus_interval(F.lit("2024-01-31").cast("timestamp"), X.interval(1)).cast("string")) == "2024-02-29 00:00:00"
+    assert one(spark, X.bits_op(F.lit("101"), F.lit("10"), "and")) is None and one(spark, X.bits_shift(F.lit("1011"), -1)) == "0101"
+    assert one(spark, X.hmac_sha256(F.lit("what do ya want for nothing?"), b"Jefe")) == "5bdcc146bf60754e6a042426089575c75a003f089d2739839dec58b964ec3843"
+    assert one(spark, X.as_uuid(F.lit("nope"))) is None
+    assert one(spark, S.label_common(F.lit("a.b.c"), F.lit("a.b"))) == "a" and one(spark, S.label_level(F.lit(""))) == 0
