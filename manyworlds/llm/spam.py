@@ -101,13 +101,12 @@ def quoted_again(lines: list[str]) -> list[int]:
         stop = i
         while stop < n and lines[stop]:
             stop += 1
-        paragraph = " ".join(lines[i:stop])
-        if _END.search(paragraph):
-            found = _WORD.findall(paragraph.lower())
-            if len(found) >= PROSE:
-                if (key := " ".join(found)) in seen:
-                    out[i:stop] = [len(_WORD.findall(_URL.sub(" x ", x))) for x in lines[i:stop]]
+        paragraph = " ".join(lines[i:stop]).lower().split()
+        if len(paragraph) >= PROSE:
+            if (key := " ".join(paragraph)) not in seen:
                 seen.add(key)
+            elif _END.search(" ".join(lines[i:stop])):
+                out[i:stop] = [len(_WORD.findall(_URL.sub(" x ", x))) for x in lines[i:stop]]
         i = stop + 1
     return out
 
@@ -174,7 +173,7 @@ def line_shapes(lines: list[str]) -> list[Shape]:
             # A record of new words, or terms strung together: which of both, the rest of the part tells.
             strung = size >= 5 and separators >= 2 and size <= 4.6 * (separators + 1) and not _END.search(line[:-1]) and not _RECORD.search(line)
             kind = "terms" if strung else "sentence"
-            told |= size > 4 and bool(_END.search(line))
+            told = told or size > 4 and bool(_END.search(line))
         elif _RECORD.search(line):
             kind = "record"
         elif size >= 5 and separators >= 2 and size <= 4.6 * (separators + 1) and not _END.search(line[:-1]):
