@@ -213,6 +213,12 @@ class UTable:
         """The world table: every variable, value and probability that the conditions mention."""
         return self.df.select(F.explode(COND).alias("a")).groupBy("a.v", "a.d").agg(F.max("a.p").alias("p"))
 
+    def clashes(self) -> DataFrame:
+        """Variables whose values' probabilities exceed 1: names are 64-bit hashes, and two that are equal are one
+        variable. Of n variables a pair is equal with a chance of about n² / 2^65: 3 % of a billion, nearly sure of ten
+        billion. Names of the same variable in several tables of one lineage aren't clashes."""
+        return self.worlds().groupBy("v").agg(F.sum("p").alias("total")).filter("total > 1 + 1e-9")
+
     # --- questions ----------------------------------------------------------------------------------------------
 
     def possible(self, *columns: str | Column) -> DataFrame:

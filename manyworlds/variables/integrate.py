@@ -22,8 +22,9 @@ from manyworlds.variables.distributions import DISTRIBUTIONS, draws, generator
 from manyworlds.variables.symbols import ATOM, ATOMS, EQN, _node, such_that
 
 SAMPLES = 1000
-#: Rejection gives up after this many tries.
+#: Rejection gives up after this many tries; what it found counts from so many accepted ones on (within some 20 %).
 TRIES = 10_000_000
+LEAST_ACCEPTED = 100
 
 Var = tuple  # (id, sub)
 
@@ -124,7 +125,9 @@ class Group:
         return good
 
     def inside(self, seed: int, n: int) -> tuple[dict[Var, np.ndarray], float]:
-        """`n` joint values that satisfy the constraints, and the constraints' probability. None that do: no values."""
+        """`n` joint values that satisfy the constraints, and the constraints' probability. Impossible ones: no values and
+        0. Rejection that accepts fewer than LEAST_ACCEPTED in TRIES says nothing: no values and NaN, which is null in a
+        column; with more, but fewer than `n`, its values are repeated."""
         if self.bounds is not None and not DISTRIBUTIONS[next(iter(self.kinds.values()))[0]].discrete:
             p = self.probability(seed, n)
             ((var, (dist, params)),) = self.kinds.items()
@@ -145,10 +148,9 @@ class Group:
                 kept[v].append(values[v][good])
             got += int(good.sum())
             tried += size
-        if not got:
-            return {}, 0.0
+        if got < min(n, LEAST_ACCEPTED):
+            return {}, (0.0 if self.bounds is not None and self.bounds[2] else math.nan)
         exact = self.probability(seed, n) if self.bounds is not None else got / tried
-        # Too few are repeated rather than left short.
         return {v: np.resize(np.concatenate(x), n) for v, x in kept.items()}, exact
 
 
@@ -195,7 +197,8 @@ def clause_probability(atoms, seed: int, n: int, exact: bool = True, grouped: bo
 
 
 def clause_expectation(nodes, atoms, seed: int, n: int) -> float:
-    """E[expression · 1(constraints)]: closed for unconstrained linear expressions, sampled otherwise."""
+    """E[expression · 1(constraints)]: closed for unconstrained linear expressions, sampled otherwise; NaN where sampling
+    accepts too little (:meth:`Group.inside`)."""
     if nodes is None:
         return math.nan
     parts, free = groups(atoms)
@@ -373,7 +376,7 @@ def _clause_mass(atoms, seed: int, n: int) -> float:
     for g in parts:
         if g.bounds is None:
             p = g.inside(seed, n)[1]
-            if p <= 0:
+            if not p > 0:
                 raise ArithmeticError(f"no sample satisfies a row's constraints in {TRIES} tries")
             chances.append(p)
     return math.prod(chances)
@@ -384,7 +387,7 @@ def _values_inside(atoms, seed: int, n: int) -> dict[Var, np.ndarray]:
     values: dict[Var, np.ndarray] = {}
     for g in groups(atoms)[0]:
         inside, p = g.inside(seed, n)
-        if p <= 0:
+        if not p > 0:
             raise ArithmeticError(f"no sample satisfies a row's constraints in {TRIES} tries")
         values |= inside
     return values

@@ -223,3 +223,10 @@ def test_posterior_of_each_nation(spark):
     got = [(r[0], r[1], r[2] if r[2] is None else round(r[2], 6)) for r in posterior_within(chosen, chosen.where("segment = 'BUILDING'"), ["nation"], "segment").collect()]
     want = [(0, "BUILDING", 0.0), (0, "AUTO", 1.0), (1, "BUILDING", 0.0), (1, "AUTO", 0.25), (1, "FOOD", 0.75), (2, "FOOD", 1.0), (3, "BUILDING", None), (None, "BUILDING", 0.0), (None, "FOOD", 1.0)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_clashing_names_show(spark):
+    r = repair_key(spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "a int, b int"), ["a"])
+    assert r.clashes().count() == 0
+    same = r.mapped(lambda df: df.withColumn(COND, F.transform(COND, lambda x: x.withField("v", F.lit(7).cast("bigint")).withField("d", F.xxhash64("a", "b")))))
+    assert [x["v"] for x in same.clashes().collect()] == [7]
