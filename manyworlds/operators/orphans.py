@@ -23,11 +23,11 @@ from manyworlds.plans.runtime import checkpoint, pieces
 #: An open end, in microseconds.
 FOREVER = np.iinfo(np.int64).max
 #: Parents of one range: what a task holds as sorted arrays.
-RANGE_ROWS = 25_000
+RANGE_ROWS = 5_000
 #: References of one slice of a range.
-SLICE_ROWS = 200_000
+SLICE_ROWS = 50_000
 #: Ranges whose sizes, one small row each, may be broadcast.
-SIZE_ROWS = 200_000
+SIZE_ROWS = 1_000_000
 
 
 def micros(column: pa.ChunkedArray, missing: int) -> np.ndarray:
