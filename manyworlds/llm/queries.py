@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyworlds.llm import leak, mix, names, spam, tokens
@@ -21,7 +21,8 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p1_players(spark: SparkSession, root: str) -> DataFrame:
     """One row per spelling: the key of its player and how many spellings that player has."""
-    return checkpoint(_persons(spark, root)).withColumn("spellings", F.count(F.lit(1)).over(Window.partitionBy("person")))
+    persons = checkpoint(_persons(spark, root))
+    return persons.join(persons.groupBy("person").agg(F.count(F.lit(1)).alias("spellings")), "person").select("spelling", "person", "spellings")
 
 
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
